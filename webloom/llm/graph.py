@@ -11,7 +11,8 @@ from webloom.session import checkpointed
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One pass. Neighbours meet their group's minimum by a join, so no group is gathered in a row."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a"))) if large else edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # a table of its own: the join below may then split a node that has many neighbours
+    least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     met = both.join(least, "u")
     if large:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
