@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.udf import vectorized
+
 #: Magic bytes in the order in which they are tried, as hex.
 MAGIC = (
     ("89504E47", "image/png"),
@@ -106,7 +108,7 @@ def decoded(content: bytes | None, name: str | None) -> tuple[str | None, str]:
     return text.removeprefix("﻿"), name or "utf-8"
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def decode(content: pd.Series, name: pd.Series) -> pd.Series:
     """Text of bytes in a charset, lossy."""
     return pd.Series([decoded(c, n)[0] for c, n in zip(content, name, strict=True)], dtype=object)
@@ -128,7 +130,7 @@ def inspect(content: Column | str, content_type: Column | str) -> Column:
     )
 
 
-@F.pandas_udf("binary")
+@vectorized("binary")
 def decompress(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Bytes of a Content-Encoding: gzip, deflate (zlib or raw), zstd where a codec is installed, identity.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.udf import vectorized
+
 #: The named entities that are decoded.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026",
@@ -47,8 +49,8 @@ def _mapped(f):
     return run
 
 
-decode_entities = F.pandas_udf(_mapped(entities_decoded), "string")  # S21: hex, decimal, then named; unknown ones stay
-decode_escapes = F.pandas_udf(_mapped(escapes_decoded), "string")  # S22: \u{…}, \uXXXX, \xXX
+decode_entities = vectorized("string")(_mapped(entities_decoded))  # S21: hex, decimal, then named; unknown ones stay
+decode_escapes = vectorized("string")(_mapped(escapes_decoded))  # S22: \u{…}, \uXXXX, \xXX
 
 
 def looks_like_base64(s: Column | str) -> Column:
@@ -79,7 +81,7 @@ def detect_and_decode(s: Column | str) -> Column:
     return F.struct(F.when(looks_like_hex(s), "hex").when(looks_like_base64(s), "base64").alias("encoding"), F.when(looks_like_hex(s), decode_hex(s)).when(looks_like_base64(s), decode_base64(s)).otherwise(s).alias("decoded"))
 
 
-@F.pandas_udf("binary")
+@vectorized("binary")
 def xor_decode(data: pd.Series, key: pd.Series) -> pd.Series:
     """Bytes XOR a repeated key."""
     out = []
@@ -191,4 +193,4 @@ def beautified(code: str, indent: int = 2) -> str:
     return "\n".join(out)
 
 
-beautify = F.pandas_udf(_mapped(beautified), "string")
+beautify = vectorized("string")(_mapped(beautified))

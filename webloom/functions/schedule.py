@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.udf import vectorized
+
 #: Cron fields with their ranges, names by their first three letters, units in milliseconds.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day of month", 1, 31), ("month", 1, 12), ("day of week", 0, 7))
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -101,7 +103,7 @@ def next_cron_time(expression: str, from_ms: Column) -> Column:
     return run(from_ms)
 
 
-@F.pandas_udf("long")
+@vectorized("long")
 def cron_after(expression: pd.Series, at: pd.Series) -> pd.Series:
     """Next run of each row's own expression after its time; null where either is missing."""
     known: dict[str, dict] = {}

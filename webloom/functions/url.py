@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.udf import vectorized
+
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"
 #: Path segments that stand for an id.
 NUMERIC, UUID, HEX, OPAQUE = r"^[0-9]+$", "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "(?i)^[0-9a-f]{16,}$", "^[A-Za-z0-9_-]{20,}$"
@@ -144,7 +146,7 @@ def next_page(url: Column | str) -> Column:
     return F.when(is_url(u), out)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link made absolute against its page; null if it can't be."""
     return pd.Series([absolute(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
@@ -167,7 +169,7 @@ def absolute(base: str | None, link: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def apply_params(url: pd.Series, params: pd.Series) -> pd.Series:
     """A URL with the parameters of a map (as JSON) set or replaced."""
     import json

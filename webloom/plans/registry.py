@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from webloom.plans import data_queries, page_queries
+
+MODULES = (page_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
