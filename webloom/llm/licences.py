@@ -102,7 +102,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"), (F.lit(False) if is_licence_file is None else F.coalesce(is_licence_file, F.lit(False))).alias("told"))
     rows = rows.withColumn("is_licence_file", F.coalesce(F.col("told") | name.rlike(FILE_NAME), F.lit(False)))
     hit = F.col("text").rlike(TRIGGER)
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x.rlike(TRIGGER))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(TRIGGER))
     whole = F.when(name.rlike(FILE_NAME), F.array(F.trim(F.regexp_replace("text", r"\s+", " ")))).otherwise(F.array().cast("array<string>"))
     statements = F.when(hit, F.array_distinct(F.concat(lines, whole))).otherwise(F.array().cast("array<string>"))
     small = checkpointed(rows.select("key", "path", "is_licence_file", statements.alias("statements"), F.xxhash64("text").alias("version")))
