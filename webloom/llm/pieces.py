@@ -7,8 +7,9 @@ before it. The table holds that token for each prefix; ids are recovered from th
 
 Compatibility replays two pieces' own merges side by side, the higher score first, and asks whether a merge
 across the border would come first. Merges never cross a space to its left, nor a character outside the
-vocabulary, so a text is encoded in units cut there, and a worker keeps the ids of the units it has met in
-a table of bounded size.
+vocabulary, nor, if no piece of the vocabulary does, the border between letters and other characters; so a
+text is encoded in units cut there, and a worker keeps the ids of the units it has met in two tables of
+bounded size, of which the older goes when the newer is full.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from webloom.llm import text
 
 SPACE = "▁"
 #: Units that a worker remembers at most, and characters of a remembered unit.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 150_000, 32
 #: Pairs whose compatibility a worker remembers at most.
-PAIRS = 1_000_000
+PAIRS = 400_000
+#: Characters that may stand together in a unit of letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _NONE = float("-inf")
 
 
@@ -41,7 +44,8 @@ class Encoder:
 
     path: str
     ids: dict[str, int] = field(default_factory=dict)
-    memo: dict[str, tuple[str, str]] = field(default_factory=dict)
+    memo: dict[str, str] = field(default_factory=dict)
+    older: dict[str, str] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
     histories: dict[int, tuple] = field(default_factory=dict)
 
@@ -57,6 +61,8 @@ class Encoder:
         self.ids = {p: k for k, p in enumerate(self.pieces) if k not in self.special and not sp.is_unused(k)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on past a space")
+        # what an id that stands alone decodes to; bytes past ASCII only decode in runs
+        self.alone = {str(k): p for p, k in self.ids.items()} | {str(k): "" for k in self.special - set(byte)} | {str(k): chr(b) for b, k in self.byte_ids.items() if b < 128}
         self.score = {p: sp.get_score(k) for p, k in self.ids.items()}
         self.chars = {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
@@ -64,8 +70,16 @@ class Encoder:
             if len(p) == 1 or self._alone(p) == [p]:
                 self.automaton.add_word(p, (len(p), k))
         self.automaton.make_automaton()
-        outside = "" if "\n" in self.chars else r"\n|"
-        self.unit = re.compile(rf"{outside}{SPACE}*[^{SPACE}\n]+|{SPACE}+" if outside else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.unit = re.compile(self._unit_pattern())
+
+    def _unit_pattern(self) -> str:
+        """Units: a run of spaces with what follows; line feeds and letters apart where no piece joins them."""
+        feed = r"\n|" if "\n" not in self.chars else ""
+        no_feed = "\n" if feed else ""
+        mixed = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}{SPACE}][{LETTERS}]")
+        if any(mixed.search(p) for p in self.ids):
+            return f"{feed}{SPACE}*[^{SPACE}{no_feed}]+|{SPACE}+"
+        return f"{feed}{SPACE}*[{LETTERS}]+|{SPACE}*[^{SPACE}{no_feed}{LETTERS}]+|{SPACE}+"
 
     def _steps(self, piece: str) -> Iterator[tuple[list[str], int, float]]:
         """The states of a text's own merging: (tokens, place of the next merge, its score)."""
@@ -113,7 +127,7 @@ class Encoder:
     def encode_unit(self, unit: str) -> list[int]:
         """The ids of one unit."""
         out: list[int] = []
-        if not all(c in self.chars for c in unit):
+        if not self.chars.issuperset(unit):
             part: list[str] = []
             for c in unit:
                 if c in self.chars:
@@ -171,31 +185,38 @@ class Encoder:
             parts.append(raw.decode("utf-8", "replace"))
         return "".join(parts).replace(SPACE, " ").removeprefix(" ")
 
-    def _unit(self, unit: str) -> tuple[str, str]:
-        """(ids joined by a space, text decoded from them) of a unit that isn't remembered."""
-        ids = self.encode_unit(unit)
-        # within a text only its first unit has the space that decoding takes away
-        got = " ".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])
+    def _unit(self, unit: str) -> str:
+        """The ids, joined by spaces, of a unit that the newer table doesn't hold."""
+        got = self.older.get(unit)
+        if got is None:
+            got = " ".join(map(str, self.encode_unit(unit)))
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[unit] = got
         return got
 
-    def units(self, doc: str) -> list[tuple[str, str]]:
-        get, found = self.memo.get, self.unit.findall(SPACE + doc.replace(" ", SPACE)) if doc else []
-        return [get(u) or self._unit(u) for u in found]
+    def line(self, doc: str) -> str:
+        """All ids of a text, the end id last, as decimals joined by spaces."""
+        found = self.unit.findall(SPACE + doc.replace(" ", SPACE)) if doc else []
+        out = list(map(self.memo.get, found))
+        if None in out:
+            # a unit that is new may be met again in the same text
+            out = [x or self.memo.get(u) or self._unit(u) for x, u in zip(out, found, strict=True)]
+        out.append(str(self.end))
+        return " ".join(out)
 
     def encode(self, doc: str) -> list[int]:
         """All ids of a text, the end id last."""
-        return [*(int(x) for s, _ in self.units(doc) for x in s.split()), self.end]
+        return list(map(int, self.line(doc).split(" ")))
 
     def digest(self, doc: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
-        units = self.units(doc)
-        line = " ".join([*(s for s, _ in units), str(self.end)])
-        back = "".join([t for _, t in units]).removeprefix(" ")
-        return line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        line = self.line(doc)
+        ids = line.split(" ")
+        parts = list(map(self.alone.get, ids))
+        back = self.decode(list(map(int, ids))) if None in parts else "".join(parts).replace(SPACE, " ").removeprefix(" ")
+        return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 _ENCODERS: dict[str, Encoder] = {}
