@@ -217,11 +217,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 column = text.strings(batch.column(place))
-                keep = [True] * len(column)
                 for x, y in text.slices(column):
+                    keep = [True] * (y - x)
                     for r, _, _ in search(sent.value, column[x:y], threshold):
-                        keep[x + r] = False
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                        keep[r] = False
+                    yield batch.slice(x, y - x).filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

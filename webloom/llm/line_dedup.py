@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     names = [*columns, "_n_lines", "_n_removed"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(x, y - x) for whole in batches for x, y in text.slices(text.strings(whole.column(place)))):
             texts, n_lines, n_gone = [], [], []
             for t, s in zip(b.column(place).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
                 parts = t.split("\n") if t is not None else []
