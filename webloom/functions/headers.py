@@ -114,7 +114,7 @@ def set_cookie(line: Column, now_ms: Column) -> Column:
 
     max-age counts from now and goes before expires.
     """
-    parts = F.transform(F.split(line, ";"), F.trim)
+    parts = F.transform(F.split(line, ";"), lambda x: F.trim(x))
     first = parts[0]
     attrs = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
     attr = lambda n: F.try_element_at(F.filter(F.transform(attrs, lambda a: F.when(F.lower(F.trim(F.substring_index(a, "=", 1))) == n, F.trim(F.regexp_extract(a, "=(.*)$", 1)))), lambda x: x.isNotNull()), F.lit(1))

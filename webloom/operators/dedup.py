@@ -131,7 +131,7 @@ def leaders(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id",
     else:
         raise RuntimeError(f"leaders did not settle in {rounds} rounds")
     settled = first.join(state, "node", "left").select(F.col("fingerprint").alias("_fp"), F.col("node").alias("_node"), F.coalesce("leads", F.lit(True)).alias("_leads"))
-    return prints.join(settled, prints["fingerprint"] == settled["_fp"]).select(key, "fingerprint", ~((F.col(key) == F.col("_node")) & F.col("_leads")).alias("is_duplicate"))
+    return prints.join(settled, prints["fingerprint"] == settled["_fp"]).select(key, "fingerprint", (~((F.col(key) == F.col("_node")) & F.col("_leads"))).alias("is_duplicate"))
 
 
 def nearest(prints: DataFrame, store: DataFrame, threshold: int, key: str = "doc_id") -> DataFrame:

@@ -91,7 +91,7 @@ def paginate(pages: DataFrame, starts: DataFrame, max_pages: int = 10) -> DataFr
 def rate_limit(requests: DataFrame, gap_ms: int, key: str = "host", at: str = "arrival", order: str = "seq") -> DataFrame:
     """start of each request, `gap_ms` apart for each host: gap*i + max over earlier j of arrival - gap*j."""
     w = Window.partitionBy(key).orderBy(at, order)
-    i = F.row_number().over(w) - 1
+    i = (F.row_number().over(w) - 1).cast("bigint")
     return requests.withColumn("_i", i).withColumn("start", F.col("_i") * gap_ms + F.max(F.col(at) - F.col("_i") * gap_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i")
 
 

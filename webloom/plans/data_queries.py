@@ -254,28 +254,28 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_type")
 
 
-_TIMED = "(select event_id, user_id::varchar as key, epoch_ms(ts) as at, value, event_type from events)"
+_TIMED = "(select event_id, user_id::varchar as key, epoch_us(ts) // 1000 as t_ms, value, event_type from events)"
 DAY, HOUR = 86_400_000, 3_600_000
 
 
 @query(
-    f"""with recursive e as (select *, row_number() over (partition by key order by at, event_id) as n from {_TIMED}),
-c as (select key, n, event_id, at, 'miss' as outcome, null::bigint as age, at as stored from e where n = 1
- union all select e.key, e.n, e.event_id, e.at, case when e.at - c.stored <= {DAY} then 'hit' when e.at - c.stored <= {DAY + 6 * HOUR} then 'stale' else 'miss' end, e.at - c.stored, case when e.at - c.stored <= {DAY} then c.stored else e.at end from c join e on e.key = c.key and e.n = c.n + 1)
+    f"""with recursive e as (select *, row_number() over (partition by key order by t_ms, event_id) as n from {_TIMED}),
+c as (select key, n, event_id, t_ms, 'miss' as outcome, null::bigint as age, t_ms as stored from e where n = 1
+ union all select e.key, e.n, e.event_id, e.t_ms, case when e.t_ms - c.stored <= {DAY} then 'hit' when e.t_ms - c.stored <= {DAY + 6 * HOUR} then 'stale' else 'miss' end, e.t_ms - c.stored, case when e.t_ms - c.stored <= {DAY} then c.stored else e.t_ms end from c join e on e.key = c.key and e.n = c.n + 1)
 select event_id, outcome, age from c"""
 )
 def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.cache_ttl(_timed(spark, sf_dir), DAY, 6 * HOUR, order="event_id").select("event_id", "outcome", "age")
 
 
-@query(f"with e as (select *, row_number() over (partition by key order by at, event_id) - 1 as i from {_TIMED}) select event_id, i * {12 * HOUR} + max(at - i * {12 * HOUR}) over (partition by key order by at, event_id) as start from e")
+@query(f"with e as (select *, row_number() over (partition by key order by t_ms, event_id) - 1 as i from {_TIMED}) select event_id, i * {12 * HOUR} + max(t_ms - i * {12 * HOUR}) over (partition by key order by t_ms, event_id) as start from e")
 def rate_limit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.rate_limit(_timed(spark, sf_dir), 12 * HOUR, "key", "at", "event_id").select("event_id", "start")
 
 
 @query(
-    f"""with e as (select *, at + (value * 1000 * 3600)::bigint as fin from {_TIMED}), f as (select *, coalesce(at < max(fin) over (partition by key order by at, event_id rows between unbounded preceding and 1 preceding), false) as joined from e)
-select event_id, joined, sum((not joined)::int) over (partition by key order by at, event_id)::bigint as flight from f"""
+    f"""with e as (select *, t_ms + (value * 1000 * 3600)::bigint as fin from {_TIMED}), f as (select *, coalesce(t_ms < max(fin) over (partition by key order by t_ms, event_id rows between unbounded preceding and 1 preceding), false) as joined from e)
+select event_id, joined, sum((not joined)::int) over (partition by key order by t_ms, event_id)::bigint as flight from f"""
 )
 def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _timed(spark, sf_dir).withColumn("end", F.col("at") + F.round(F.col("value") * 1000 * 3600).cast("bigint"))
@@ -300,7 +300,7 @@ def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select event_id, case when at - (event_id * 1000) % 7919 + 5000 > at then at - (event_id * 1000) % 7919 + 5000 else at - (event_id * 1000) % 7919 + 5000 + (floor(((event_id * 1000) % 7919 - 5000) / 5000) + 1)::bigint * 5000 end as next_at, '5s' as label, 300000 as five from {_TIMED}"
+    f"select event_id, case when t_ms - (event_id * 1000) % 7919 + 5000 > t_ms then t_ms - (event_id * 1000) % 7919 + 5000 else t_ms - (event_id * 1000) % 7919 + 5000 + (floor(((event_id * 1000) % 7919 - 5000) / 5000) + 1)::bigint * 5000 end as next_at, '5s' as label, 300000 as five from {_TIMED}"
 )
 def interval_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _timed(spark, sf_dir)

@@ -29,11 +29,19 @@ def query(sql: str | None = None):
     return keep
 
 
+def _plain(sql: str) -> str:
+    """SQL text for the text of markup without tags."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return f"trim({sql}, ' ' || chr(10))"
+
+
+_TITLE = _plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
 PAGE_SCHEMA = {"title": {"selector": "h1", "required": True}, "links": ["nav a"], "ad": ".ad"}
 
 
 @query(
-    r"""select page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) as title, len(regexp_extract_all(html, '<li><a href=')) as n_links, trim(regexp_extract(html, '<div class="ad">(.*?)</div>', 1)) as ad, true as valid from pages"""
+    f"""select page_id, {_TITLE} as title, len(regexp_extract_all(html, '<li><a href=')) as n_links, {_plain("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} as ad, true as valid from pages"""
 )
 def html_extract_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.extract_rows(read(spark, sf_dir, "pages"), PAGE_SCHEMA, keep=("page_id",))
@@ -41,7 +49,7 @@ def html_extract_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("page_id", "title", F.size("links").cast("bigint").alias("n_links"), "ad", F.col("_validation.valid").alias("valid"))
 
 
-@query(r"""select page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) as title, 'n/a' as missing, 'h1' as used from pages""")
+@query(f"""select page_id, {_TITLE} as title, 'n/a' as missing, 'h1' as used from pages""")
 def html_fallback_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.extract_rows(read(spark, sf_dir, "pages"), {"title": {"selector": [".missing", "h1"]}, "missing": {"selector": ".missing", "default": "n/a"}}, keep=("page_id",))
     used = F.filter("_health", lambda h: h["field"] == "title")[0]["selector"]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import data_queries, page_queries
+from webloom.plans import data_queries, more_queries, page_queries
 
-MODULES = (page_queries, data_queries)
+MODULES = (page_queries, data_queries, more_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

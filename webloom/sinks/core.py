@@ -131,7 +131,7 @@ def csv_header(df: DataFrame) -> str:
 
 def json_line(df: DataFrame) -> Column:
     """(K14)"""
-    return F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
 def markdown_line(df: DataFrame) -> Column:
