@@ -91,10 +91,11 @@ def measure(column: pa.Array) -> dict[str, list | np.ndarray]:
         lines = [z for z in raw[x:y].split(b"\n") if z.strip()]
         dup[d] = len(lines) - len(set(lines))
         rep[d] = repeated_words(h[first[d] : first[d] + n_words[d]])
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": rep, "chars": chars, "common": common}
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": rep, "n_chars": chars.sum(1), "chars": chars, "common": common}
 
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_ALL = (*_BASE, "n_chars")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,28 +104,31 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in text.slices(column):
             m = measure(column[x:y])
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1, dtype=np.int32) * m[k].shape[1]), pa.array(m[k].ravel().astype(np.int64))) for k in ("chars", "common")]
-            yield pa.RecordBatch.from_arrays([b.column(0)[x:y], b.column(1)[x:y], *(pa.array(m[k].astype(np.int64)) for k in _BASE), *lists], ["doc_id", "lang", *_BASE, "chars", "common"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[x:y], b.column(1)[x:y], *(pa.array(m[k].astype(np.int64)) for k in _ALL), *lists], ["doc_id", "lang", *_ALL, "chars", "common"])
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of counts."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def _distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of an array of counts to an array of shares.
 
-    def part(x: Column, y: Column) -> Column:
+    The total is a column of its own: inside the lambda it would be summed again for every entry.
+    """
+
+    def part(n: Column, y: Column) -> Column:
+        x = n / total
         m = (x + y) / 2
         log = lambda a: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
         return log(x) + log(y)
 
-    both = F.zip_with(p, q, lambda x, y: part(x / F.greatest(total(p), F.lit(1.0)), y / F.greatest(total(q), F.lit(1.0))))
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(counts, shares, part), F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
 def _references(measured: DataFrame, chars: str, common: str) -> DataFrame:
-    """(ref_lang, both histograms summed); a row for each language, null among them."""
+    """(language, the shares of both histograms summed); a row for each language, null among them."""
     sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))] + [F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(len(COMMON) + 1)]
     found = measured.groupBy("lang").agg(*sums)
-    doubles = lambda p, n: F.array(*[F.col(f"{p}{k}").cast("double") for k in range(n)])
-    return found.select(F.col("lang").alias(f"{chars}_lang"), doubles("c", len(CLASSES)).alias(chars), doubles("w", len(COMMON) + 1).alias(common))
+    shares = lambda p, n: F.array(*[F.col(f"{p}{k}") / F.greatest(F.col(p), F.lit(1)) for k in range(n)])
+    totals = {p: sum((F.col(f"{p}{k}") for k in range(1, n)), F.col(f"{p}0")) for p, n in (("c", len(CLASSES)), ("w", len(COMMON) + 1))}
+    return found.withColumns(totals).select(F.col("lang").alias(f"{chars}_lang"), shares("c", len(CLASSES)).alias(chars), shares("w", len(COMMON) + 1).alias(common))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -134,15 +138,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     share a reference of their own. Repeated rows repeat, and count as often as they occur; ties at a limit
     are kept; an empty table gives an empty one; other columns play no part.
     """
-    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *(T.StructField(k, T.LongType()) for k in _BASE), T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("common", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), *(T.StructField(k, T.LongType()) for k in _ALL), T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("common", T.ArrayType(T.LongType()))])
     measured = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measured, kind))
-    own = lambda c: F.transform(c, lambda x: x.cast("double"))
+    points, words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    measured = measured.withColumns({"_points": points.cast("double"), "_words": words.cast("double")})
     # a reference has one row for each language; Spark broadcasts it only under its own size threshold
     first = checkpointed(_references(measured, "all_chars", "all_common"))
-    near = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter((F.col("n_words") >= CHAR_LIMITS[0][0]) & (_distance(own("chars"), F.col("all_chars")) <= NEAR))
+    near = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter((F.col("n_words") >= CHAR_LIMITS[0][0]) & (_distance(F.col("chars"), F.col("_points"), F.col("all_chars")) <= NEAR))
     second = checkpointed(_references(near, "ref_chars", "ref_common"))
     met = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"]), "left").join(second, measured["lang"].eqNullSafe(second["ref_chars_lang"]), "left")
-    met = met.withColumn("js_chars", _distance(own("chars"), F.coalesce("ref_chars", "all_chars"))).withColumn("js_common", _distance(own("common"), F.coalesce("ref_common", "all_common")))
+    met = met.withColumn("js_chars", _distance(F.col("chars"), F.col("_points"), F.coalesce("ref_chars", "all_chars"))).withColumn("js_common", _distance(F.col("common"), F.col("_words"), F.coalesce("ref_common", "all_common")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     off = F.lit(False)
     for distance, limits in (("js_chars", CHAR_LIMITS), ("js_common", WORD_LIMITS)):
