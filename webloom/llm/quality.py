@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence.
 
-A document's character classes and its share of common words form two histograms. References are the same
-histograms summed over all documents of a language, first over all of them, then over those that are near
-the first reference, so junk that fills part of a language doesn't set its reference. A document with words
-enough goes if the Jensen-Shannon distance of its characters or of its common words to its language's
-reference is over a limit. Shorter ones are told by the base rules alone.
+A document's character classes and its share of common words form two histograms. A language's reference
+is the mean of its documents' shares, first of all that have words enough, then of those whose characters
+are nearer to the first reference than the median document, or than NEAR; so junk in less than half of the
+documents, however long, doesn't set the reference. A document with words enough goes if the Jensen-Shannon
+distance of its characters or of its common words to its language's reference is over a limit. Shorter ones
+are told by the base rules alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MIN_WORDS, REPEAT_PERCENT = 20, 30
 CHAR_LIMITS = ((20, 0.42), (40, 0.235), (80, 0.18))
 #: The same for common words.
 WORD_LIMITS = ((60, 0.45),)
-#: Distance to the first reference up to which a document counts for the second.
+#: Distance to the first reference up to which a document counts for the second in any case.
 NEAR = 0.20
 SYMBOLS = b"#*$%&|<>"
 #: Common words of the languages, in lower case, in natural order.
@@ -123,12 +124,10 @@ def _distance(counts: Column, total: Column, shares: Column) -> Column:
 
 
 def _references(measured: DataFrame, chars: str, common: str) -> DataFrame:
-    """(language, the shares of both histograms summed); a row for each language, null among them."""
-    sums = [F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))] + [F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(len(COMMON) + 1)]
-    found = measured.groupBy("lang").agg(*sums)
-    shares = lambda p, n: F.array(*[F.col(f"{p}{k}") / F.greatest(F.col(p), F.lit(1)) for k in range(n)])
-    totals = {p: sum((F.col(f"{p}{k}") for k in range(1, n)), F.col(f"{p}0")) for p, n in (("c", len(CLASSES)), ("w", len(COMMON) + 1))}
-    return found.withColumns(totals).select(F.col("lang").alias(f"{chars}_lang"), shares("c", len(CLASSES)).alias(chars), shares("w", len(COMMON) + 1).alias(common))
+    """(language, mean shares of both histograms); a row for each language, null among them."""
+    sums = [F.avg(F.col("chars")[k] / F.col("_points")).alias(f"c{k}") for k in range(len(CLASSES))] + [F.avg(F.col("common")[k] / F.col("_words")).alias(f"w{k}") for k in range(len(COMMON) + 1)]
+    found = measured.filter(F.col("n_words") >= CHAR_LIMITS[0][0]).groupBy("lang").agg(*sums)
+    return found.select(F.col("lang").alias(f"{chars}_lang"), F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias(chars), F.array(*(f"w{k}" for k in range(len(COMMON) + 1))).alias(common))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -144,13 +143,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     measured = measured.withColumns({"_points": points.cast("double"), "_words": words.cast("double")})
     # a reference has one row for each language; Spark broadcasts it only under its own size threshold
     first = checkpointed(_references(measured, "all_chars", "all_common"))
-    near = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter((F.col("n_words") >= CHAR_LIMITS[0][0]) & (_distance(F.col("chars"), F.col("_points"), F.col("all_chars")) <= NEAR))
+    apart = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter(F.col("n_words") >= CHAR_LIMITS[0][0]).withColumn("_first", _distance(F.col("chars"), F.col("_points"), F.col("all_chars"))).drop("all_chars", "all_common", "all_chars_lang")
+    middle = checkpointed(apart.groupBy("lang").agg(F.greatest(F.percentile_approx("_first", 0.5, 10_000), F.lit(NEAR)).alias("_reach"))).withColumnRenamed("lang", "_lang")
+    near = apart.join(middle, apart["lang"].eqNullSafe(middle["_lang"])).filter(F.col("_first") <= F.col("_reach"))
     second = checkpointed(_references(near, "ref_chars", "ref_common"))
     met = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"]), "left").join(second, measured["lang"].eqNullSafe(second["ref_chars_lang"]), "left")
-    met = met.withColumn("js_chars", _distance(F.col("chars"), F.col("_points"), F.coalesce("ref_chars", "all_chars"))).withColumn("js_common", _distance(F.col("common"), F.col("_words"), F.coalesce("ref_common", "all_common")))
+    met = met.withColumn("js_chars", F.round(_distance(F.col("chars"), F.col("_points"), F.coalesce("ref_chars", "all_chars")), 9)).withColumn("js_common", F.round(_distance(F.col("common"), F.col("_words"), F.coalesce("ref_common", "all_common")), 9))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    # a language without a document of words enough has no reference: its distances are null, and tell nothing
     off = F.lit(False)
     for distance, limits in (("js_chars", CHAR_LIMITS), ("js_common", WORD_LIMITS)):
         for least, limit in limits:
-            off |= (F.col("n_words") >= least) & (F.col(distance) > limit)
+            off |= F.coalesce((F.col("n_words") >= least) & (F.col(distance) > limit), F.lit(False))
     return met.select("doc_id", *_BASE, base.alias("base_failed"), (~base & ~off).alias("kept"), "js_chars", "js_common")
