@@ -118,7 +118,8 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     steps = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(F.split("dir", "/"), F.lit(1), k), "/").alias("above")))
     ladder = below.select("dir", F.explode(steps).alias("s")).select("dir", "s.depth", "s.above")
     nearest = ladder.join(given, "above").groupBy("dir").agg(F.max_by("inherited", "depth").alias("inherited"), F.max_by("above", "depth").alias("inherited_from"))
-    nearest = nearest.withColumnRenamed("dir", "d")
+    # a table of its own: the join below may then broadcast it, or split a directory of many files
+    nearest = checkpointed(nearest.withColumnRenamed("dir", "d"))
     out = found.join(nearest, found["licence"].isNull() & (found["dir"] == nearest["d"]), "left")
     return out.select(F.col("key").alias(key), "licence", "cosine", "inherited", "inherited_from", "is_licence_file")
 
