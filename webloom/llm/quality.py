@@ -130,6 +130,16 @@ def _references(measured: DataFrame, chars: str, common: str) -> DataFrame:
     return found.select(F.col("lang").alias(f"{chars}_lang"), F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias(chars), F.array(*(f"w{k}" for k in range(len(COMMON) + 1))).alias(common))
 
 
+#: Languages up to which references are broadcast: under a kilobyte each. More of them take a shuffled join.
+BROADCAST_LANGUAGES = 10_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of a row for each language, checkpointed and, if its count allows, marked for broadcast."""
+    table = checkpointed(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The base counts, divergences and verdict of each row of docs.
 
@@ -141,12 +151,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     measured = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measured, kind))
     points, words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     measured = measured.withColumns({"_points": points.cast("double"), "_words": words.cast("double")})
-    # a reference has one row for each language; Spark broadcasts it only under its own size threshold
-    first = checkpointed(_references(measured, "all_chars", "all_common"))
+    first = _small(_references(measured, "all_chars", "all_common"))
     apart = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter(F.col("n_words") >= CHAR_LIMITS[0][0]).withColumn("_first", _distance(F.col("chars"), F.col("_points"), F.col("all_chars"))).drop("all_chars", "all_common", "all_chars_lang")
-    middle = checkpointed(apart.groupBy("lang").agg(F.greatest(F.percentile_approx("_first", 0.5, 10_000), F.lit(NEAR)).alias("_reach"))).withColumnRenamed("lang", "_lang")
+    middle = _small(apart.groupBy(F.col("lang").alias("_lang")).agg(F.greatest(F.percentile_approx("_first", 0.5, 10_000), F.lit(NEAR)).alias("_reach")))
     near = apart.join(middle, apart["lang"].eqNullSafe(middle["_lang"])).filter(F.col("_first") <= F.col("_reach"))
-    second = checkpointed(_references(near, "ref_chars", "ref_common"))
+    second = _small(_references(near, "ref_chars", "ref_common"))
     met = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"]), "left").join(second, measured["lang"].eqNullSafe(second["ref_chars_lang"]), "left")
     met = met.withColumn("js_chars", F.round(_distance(F.col("chars"), F.col("_points"), F.coalesce("ref_chars", "all_chars")), 9)).withColumn("js_common", F.round(_distance(F.col("common"), F.col("_words"), F.coalesce("ref_common", "all_common")), 9))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
