@@ -86,7 +86,7 @@ def _skips(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
             for w in _WORDS.findall(value.replace("_", "-")):
-                if w in SKIP_WORDS or any(p in SKIP_WORDS for p in w.split("-")):
+                if w in SKIP_WORDS or any(p in SKIP_WORDS for p in w.split("-")) or (w == "header" and not inside_article):
                     return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
