@@ -187,11 +187,14 @@ def content(nodes: list[Node]) -> np.ndarray:
     fused = np.where(live, smooth(texts[of]) * (1 + smooth(marks[of])), 0)
     if not live.any():
         return np.zeros(n, bool)
-    return live & (length > 0) & (fused >= 0.5 * fused[live].std()) & (fused > 0)
+    return live & ~link & (length > 0) & (fused >= 0.5 * fused[live].std()) & (fused > 0)
 
 
 def article(nodes: list[Node], picked: np.ndarray) -> Element | None:
-    """The innermost element that holds nearly all content text; an <article> or <main> that holds most goes before it."""
+    """The innermost element that holds nearly all content text, with wrappers that add little to it.
+
+    An <article> or <main> that holds most of it goes before.
+    """
     weight: dict[Element, float] = {}
     whole = 0.0
     for x, p in zip(nodes, picked, strict=True):
@@ -213,6 +216,15 @@ def article(nodes: list[Node], picked: np.ndarray) -> Element | None:
     # one paragraph isn't an article: its heading and its neighbours stand beside it
     while best.up is not None and best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "blockquote", "pre", "ul", "ol", "table", "tbody"):
         best = best.up
+    # a wrapper that adds little, such as a heading over the body of a post, belongs to it
+    total: dict[Element, int] = {}
+    for x in nodes:
+        e = None if x.at.skip or x.at.link else x.at
+        while e is not None:
+            total[e] = total.get(e, 0) + len(x.text.strip())
+            e = e.up
+    while best.up is not None and best.up.tag not in ("body", "html", "#root") and total.get(best.up, 0) <= 1.3 * total.get(best, 0):
+        best = best.up
     return best
 
 
