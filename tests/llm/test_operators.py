@@ -345,6 +345,15 @@ def test_line_dedup_keeps_each_line_somewhere(spark, sf_dir):
     assert lines(line_dedup.dedup_lines(docs)) == lines(docs)
 
 
+def test_line_dedup_meets_whole_blocks(spark):
+    """Each line of a block was held first by another document than the block."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(5)]
+    block = "\n".join(lines)
+    rows = [*((k, f"own {k}\n{x}") for k, x in enumerate(lines)), (5, f"head\n{block}\nend"), (9, f"other\n{block}\nlast")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {9: "other\nlast"}
+
+
 # --- licences ------------------------------------------------------------------------------------------------
 
 

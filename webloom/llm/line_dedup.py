@@ -1,11 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed. A document meets an earlier one where they share a line: each line names the first
-document that holds it, and every later holder is paired with that first one, so a line in a third of all
-documents makes one pair for each of them, not one for each two of them. A pair's lines are aligned by
-patience diff: common head and tail, then lines unique on both sides in longest increasing order, then the
-gaps in between. An aligned block of consecutive lines with MIN_WORDS words or more goes from the later
-document. A line's first holder keeps it, so nothing is lost from the corpus.
+Lines are hashed, and so are windows: the shortest runs of consecutive lines that reach MIN_WORDS words from
+a line on, or back from a line. A document meets an earlier one where they share a window: each window names
+the first document that holds it, and every later holder is paired with that first one, so a passage in a
+third of all documents makes one pair for each of them, not one for each two of them. Each line of a block
+that could go lies in a window within the block, so it meets a holder of that whole window, whoever held its
+single lines before. A pair's lines are aligned by patience diff: common head and tail, then lines unique on
+both sides in longest increasing order, then the gaps in between. An aligned block of consecutive lines with
+MIN_WORDS words or more goes from the later document. A line's first holder keeps it, so nothing is lost from
+the corpus.
 """
 
 from __future__ import annotations
@@ -27,21 +30,45 @@ from webloom.session import checkpointed
 MIN_WORDS = 20
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, version, hashes of the lines, words of the lines). Lines are compared without space at their ends."""
-    for b in batches:
-        column = text.strings(b.column(1))
-        data, at = text.view(column)
-        raw = data.tobytes()
-        digest = xxhash.xxh64_intdigest
-        version, lines, counts = [], [], []
-        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            doc = raw[x:y]
-            split = [z.strip() for z in doc.split(b"\n")]
-            version.append(digest(doc, 42))
-            lines.append(np.array([digest(z) for z in split], np.uint64).view(np.int64))
-            counts.append(np.array([len(z.split()) for z in split], np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(version, np.uint64).view(np.int64)), pa.array(lines, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "version", "lines", "words"])
+def windows(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, hash) of the shortest runs of min_words words or more from each line on, and back from each.
+
+    Lines without words begin and end no window, so a line lies in few of them.
+    """
+    n, least = len(lines), max(1, min_words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    own = np.flatnonzero(words > 0)
+    on = np.searchsorted(total, total[own] + least, "left")
+    back = np.searchsorted(total, total[own + 1] - least, "right") - 1
+    spans = np.concatenate([np.stack([own, on], 1)[on <= n], np.stack([back, own + 1], 1)[back >= 0]])
+    spans = np.unique(spans, axis=0)
+    raw = lines.tobytes()
+    found = np.array([xxhash.xxh64_intdigest(raw[8 * x : 8 * y]) for x, y in spans.tolist()], np.uint64).view(np.int64)
+    return spans[:, 0], spans[:, 1], found
+
+
+def _hashed(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, version, hashes of the lines, words of the lines, hashes of the windows).
+
+        Lines are compared without space at their ends.
+        """
+        for b in batches:
+            column = text.strings(b.column(1))
+            data, at = text.view(column)
+            raw = data.tobytes()
+            digest = xxhash.xxh64_intdigest
+            version, lines, counts, runs = [], [], [], []
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                doc = raw[x:y]
+                split = [z.strip() for z in doc.split(b"\n")]
+                version.append(digest(doc, 42))
+                lines.append(np.array([digest(z) for z in split], np.uint64).view(np.int64))
+                counts.append(np.array([len(z.split()) for z in split], np.int32))
+                runs.append(np.unique(windows(lines[-1], counts[-1], min_words)[2]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(version, np.uint64).view(np.int64)), pa.array(lines, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "version", "lines", "words", "windows"])
+
+    return run
 
 
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -128,14 +155,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     A document without such a span has no row. Rows without a doc_id or a text take no part.
     """
     kind = docs.schema[id_col].dataType
-    line = T.StructType([T.StructField("doc_id", kind), T.StructField("version", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+    line = T.StructType([T.StructField("doc_id", kind), T.StructField("version", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("windows", T.ArrayType(T.LongType()))])
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    lines = checkpointed(source.mapInArrow(_hashed, line))
+    lines = checkpointed(source.mapInArrow(_hashed(min_words), line))
     me = F.struct("doc_id", "version")
-    held = lines.select(me.alias("me"), F.explode(F.array_distinct(F.expr("filter(lines, (x, i) -> words[i] > 0)"))).alias("line"))
-    first = held.groupBy("line").agg(F.min("me").alias("owner"), F.max("me").alias("last")).filter("owner <> last").select("line", "owner")
-    first = checkpointed(first)  # a table of its own: the join below may then split a line that many documents hold
-    pairs = held.join(first, "line").filter("owner < me").select("me", "owner").distinct()
+    held = lines.select(me.alias("me"), F.explode("windows").alias("window"))
+    first = held.groupBy("window").agg(F.min("me").alias("owner"), F.max("me").alias("last")).filter("owner <> last").select("window", "owner")
+    first = checkpointed(first)  # a table of its own: the join below may then split a window that many documents hold
+    pairs = held.join(first, "window").filter("owner < me").select("me", "owner").distinct()
     later = lines.dropDuplicates(["doc_id", "version"]).select(me.alias("me"), "lines", "words")
     met = pairs.join(later, "me").join(later.select(F.col("me").alias("owner"), F.col("lines").alias("earlier")), "owner")
     spans = met.select("me.doc_id", "me.version", "lines", "words", "earlier").mapInArrow(_aligned(min_words), T.StructType([T.StructField("doc_id", kind), T.StructField("version", T.LongType()), T.StructField("gone", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))]))
