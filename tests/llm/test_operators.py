@@ -354,6 +354,34 @@ def test_line_dedup_meets_whole_blocks(spark):
     assert got == dict(rows) | {9: "other\nlast"}
 
 
+def test_line_dedup_of_repeated_and_swapped_blocks(spark):
+    p, q = ("\n".join(" ".join(f"{c}{k}x{j}" for j in range(12)) for k in range(3)) for c in "pq")
+    rows = [
+        (1, f"a\n{p}\nb\n{p}\nc\n{q}"),
+        (2, f"d\n{p}\ne"),  # twice in its first holder
+        (3, f"f\n{q}\ng\n{q}\nh"),  # twice in the later document
+        (4, f"{q}\ni\n{p}"),  # in the other order
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "d\ne", 3: "f\ng\nh", 4: "i"}
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(3)
+    alphabet = ["", *(" ".join(f"w{k}x{j}" for j in range(rng.choice([1, 4, 9, 12, 25]))) for k in range(9))]
+    texts = [[rng.choice(alphabet) for _ in range(rng.randrange(14))] for _ in range(60)]
+    runs = lambda t: {(x, y): tuple(t[x:y]) for x in range(len(t)) for y in range(x + 1, len(t) + 1) if len(" ".join(t[x:y]).split()) >= 20}
+    held, want = set(), {}
+    for k, t in enumerate(texts):
+        own = runs(t)
+        gone = {i for (x, y), r in own.items() if r in held for i in range(x, y)}
+        want[k] = [x for i, x in enumerate(t) if i not in gone and x]
+        held |= set(own.values())
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.text.split("\n") if x] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len([x for x in t if x]) for t in texts)
+
+
 # --- licences ------------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,10 @@ third of all documents makes one pair for each of them, not one for each two of
 that could go lies in a window within the block, so it meets a holder of that whole window, whoever held its
 single lines before. A pair's lines are aligned by patience diff: common head and tail, then lines unique on
 both sides in longest increasing order, then the gaps in between. An aligned block of consecutive lines with
-MIN_WORDS words or more goes from the later document. A line's first holder keeps it, so nothing is lost from
-the corpus.
+MIN_WORDS words or more goes from the later document. Where lines of the earlier one are left, which stand
+twice or in another order, the pair's equal windows are looked up, and what they cover goes too. So a line goes
+from each document where it lies in a block of MIN_WORDS words that an earlier document holds. A line's first
+holder keeps it, so nothing is lost from the corpus.
 """
 
 from __future__ import annotations
@@ -133,6 +135,27 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return merged
 
 
+def common(earlier: np.ndarray, later: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Spans of later that lie in equal runs of consecutive lines with min_words words or more, in order.
+
+    Patience diff finds most; lines that it leaves and that earlier holds are looked up by windows, which
+    needs no order and no line that is unique.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    gone = np.zeros(len(later) + 2, bool)
+    for _, y, n in patience(earlier, later):
+        if total[y + n] - total[y] >= min_words:
+            gone[y + 1 : y + n + 1] = True
+    if np.isin(later[~gone[1:-1] & (words > 0)], earlier).any():
+        size = {int(h): int(w) for h, w in zip(later, words, strict=True)}  # equal lines have equal words
+        start, stop, run = windows(later, words, min_words)
+        held = windows(earlier, np.array([size.get(h, min_words) for h in earlier.tolist()], np.int32), min_words)[2]
+        for x, y in zip(start[np.isin(run, held)].tolist(), stop[np.isin(run, held)].tolist(), strict=True):
+            gone[x + 1 : y + 1] = True
+    edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def _aligned(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of pairs (doc_id, version, lines, words, earlier's lines): the spans that go."""
@@ -142,8 +165,7 @@ def _aligned(min_words: int):
             gone = []
             for r in range(b.num_rows):
                 later, words, earlier = (v[o[r] : o[r + 1]] for v, o in value)
-                total = np.concatenate([[0], np.cumsum(words)])
-                gone.append([{"start": y, "stop": y + n} for _, y, n in patience(earlier, later) if total[y + n] - total[y] >= min_words])
+                gone.append([{"start": x, "stop": y} for x, y in common(earlier, later, words, min_words)])
             yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["doc_id", "version", "gone"])
 
     return run
