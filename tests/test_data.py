@@ -232,3 +232,18 @@ def test_exports(spark):
     assert core.export_text(df, "markdown", "o").startswith("| n | s | t | z |\n| --- |")
     with pytest.raises(core.SinkError):
         core.export_text(df, "xls", "o")
+
+
+def test_near_dup_pairs_hold_every_near_document(spark, sf_dir):
+    """Each two near documents have one first holder, or first holders that are a pair; and no others have."""
+    from webloom.plans import registry
+
+    prints = dict(map(tuple, dedup.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()))
+    got = [tuple(r) for r in registry.queries()["near_dup_pairs"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and all(a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() == d for a, b, d in got)
+    first = {k: k for k in prints} | {b: a for a, b, d in got if d == 0}
+    pairs = {(a, b) for a, b, d in got if d}
+    assert all(first[a] == a == first[first[a]] and first[b] == b for a, b in pairs)
+    near = {(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= dedup.THRESHOLD}
+    assert any(prints[a] == prints[b] for a, b in near)
+    assert near == {(a, b) for a in prints for b in prints if a < b and (first[a] == first[b] or (first[a], first[b]) in pairs or (first[b], first[a]) in pairs)}

@@ -92,8 +92,8 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id
     """(a, b, distance), a before b, of keys whose fingerprints differ in `threshold` bits or fewer.
 
     threshold + 1 bands: of two near fingerprints one band is equal. Equal fingerprints are merged first, and
-    pairs of merged ones are found once, in the first band that they share, so copies cost nothing in the join;
-    the pairs of copies among themselves come from `copies`.
+    pairs of merged ones are found once, in the first band that they share, so copies cost nothing in the join:
+    a and b are each the least key of their fingerprint, and `copies` links the other holders to it.
     """
     bands = threshold + 1
     edges = [BITS * k // bands for k in range(bands + 1)]
@@ -110,6 +110,17 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id
     return near.filter(~earlier).select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance"))
 
 
+def copies(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(a, b, distance 0): the least key of a fingerprint with each other key that holds it; null keys have no row.
+
+    With near_pairs this is the whole relation: keys are near if their least keys are the same or are a pair.
+    """
+    first = prints.groupBy("fingerprint").agg(F.min(key).alias("a"), F.max(key).alias("last")).filter("a <> last").select(F.col("fingerprint").alias("_fp"), "a")
+    first = checkpointed(first)  # a table of its own: the join below may then split a fingerprint that many keys hold
+    held = prints.join(first, prints["fingerprint"] == first["_fp"]).filter(F.col(key) > F.col("a"))
+    return held.select("a", F.col(key).alias("b"), F.lit(0).alias("distance")).distinct()
+
+
 def leaders(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", rounds: int = 100) -> DataFrame:
     """(key, fingerprint, is_duplicate): in the order of key, a row is a duplicate if an earlier leader is near.
 

@@ -15,6 +15,7 @@ from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
 from webloom.plans.tables import LOG, entries, log, read
+from webloom.session import checkpointed
 from webloom.sinks import core as K
 from webloom.sources import capture as C
 from webloom.sources import formats as R
@@ -219,7 +220,9 @@ def near_dup_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.near_pairs(D.fingerprints(read(spark, sf_dir, "documents")))
+    """Pairs of the first holders of near fingerprints, and each other holder with its first at distance 0."""
+    prints = checkpointed(D.fingerprints(read(spark, sf_dir, "documents")))
+    return D.near_pairs(prints).unionByName(D.copies(prints))
 
 
 @query("select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents group by text having count(*) > 1")
