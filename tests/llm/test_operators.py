@@ -78,6 +78,23 @@ def test_fingerprint(t):
     assert near_dup.fingerprint(t.encode()) == slow_fingerprint(t)
 
 
+def test_large_leaf_links_components_through_a_visitor(monkeypatch):
+    monkeypatch.setattr(near_dup, "LEAF", 0)
+    fp = np.array([0, 0b1111, 0b11111111], np.uint64)
+    forest = near_dup._Forest(3)
+    near_dup._leaf(fp, np.array([0, 2]), np.arange(3), 4, forest)
+    assert forest.roots().tolist() == [0, 0, 0]
+    rng = np.random.default_rng(5)
+    fp = np.unique(rng.integers(0, 1 << 16, 900).astype(np.uint64))
+    home = np.flatnonzero(rng.random(len(fp)) < 0.4)
+    for radius in (1, 2):
+        got, want = near_dup._Forest(len(fp)), near_dup._Forest(len(fp))
+        near_dup._leaf(fp, home, np.arange(len(fp)), radius, got)
+        i, j = np.nonzero(np.bitwise_count(fp[home][:, None] ^ fp[None, :]) <= radius)
+        want.join(home[i], j)
+        assert got.roots().tolist() == want.roots().tolist()
+
+
 def test_search_is_exact(monkeypatch):
     monkeypatch.setattr(near_dup, "LEAF", 8)
     rng = random.Random(3)

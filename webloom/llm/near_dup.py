@@ -148,24 +148,24 @@ def _leaf(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, fore
             i, j = np.nonzero(np.bitwise_count(fp[home[a : a + step]][:, None] ^ fp[visit][None, :]) <= radius)
             forest.join(home[a : a + step][i], visit[j])
         return
-    left = visit.copy()
-    waiting = list(home[::-1])
-    done = np.zeros(len(fp), bool)
-    is_home = np.zeros(len(fp), bool)
+    is_home, taken = np.zeros(len(fp), bool), np.zeros(len(fp), bool)
     is_home[home] = True
-    while waiting:
-        r = waiting.pop()
-        if done[r]:
+    for root in home:
+        if taken[root]:
             continue
-        done[r] = True
-        met = np.bitwise_count(fp[left] ^ fp[r]) <= radius
-        if met.any():
-            got = left[met]
-            forest.join(np.full(len(got), r), got)
-            left = left[~met]
-            waiting.extend(got[is_home[got]])
-        if not len(left):
-            return
+        taken[root] = True
+        # visitors from elsewhere come back for each component: they may link several
+        left, waiting = visit[~taken[visit]], [root]
+        while waiting and len(left):
+            r = waiting.pop()
+            met = np.bitwise_count(fp[left] ^ fp[r]) <= radius
+            if met.any():
+                got = left[met]
+                forest.join(np.full(len(got), r), got)
+                left = left[~met]
+                inner = got[is_home[got]]
+                taken[inner] = True
+                waiting.extend(inner)
 
 
 def _search(fp: np.ndarray, is_home: np.ndarray, mask: np.uint64, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
