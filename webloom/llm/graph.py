@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): the least node that it reaches.
 
     Nodes that are their own component's least are not listed. Null ends are ignored; repeated edges and
@@ -31,10 +31,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(rounds):
+    while True:  # the stars settle in a number of rounds that grows with the logarithm of the nodes
         now = checkpointed(_star(_star(now, True), False))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = mark
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
