@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from webloom.llm import text
 from webloom.session import checkpointed
@@ -29,6 +30,8 @@ CHAR_LIMITS = ((20, 0.42), (40, 0.235), (80, 0.18))
 WORD_LIMITS = ((60, 0.45),)
 #: Distance to the first reference up to which a document counts for the second in any case.
 NEAR = 0.20
+#: Steps between distances 0 and 1 by which the median is counted.
+STEPS = 10_000
 SYMBOLS = b"#*$%&|<>"
 #: Common words of the languages, in lower case, in natural order.
 COMMON = "the of and to in is that it for was on with as be by a at this from or de la le les des et en un une du que qui est dans pour par sur der die und das den von zu mit ist im ein eine auf dem el los las y se por con del al no es lo".split()
@@ -140,6 +143,17 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table
 
 
+def _middle(apart: DataFrame) -> DataFrame:
+    """(_lang, _reach): the median of _first up to the next step, or NEAR, whichever is larger.
+
+    Distances are counted by steps, so that a language has STEPS + 1 rows at most, however dealt.
+    """
+    steps = apart.groupBy(F.col("lang").alias("_lang"), F.ceil(F.col("_first") * STEPS).alias("_step")).agg(F.count("*").alias("_n"))
+    mine = Window.partitionBy("_lang")
+    steps = steps.withColumn("_so_far", F.sum("_n").over(mine.orderBy("_step"))).withColumn("_all", F.sum("_n").over(mine))
+    return steps.filter(2 * F.col("_so_far") >= F.col("_all")).groupBy("_lang").agg(F.greatest(F.min("_step") / STEPS, F.lit(NEAR)).alias("_reach"))
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The base counts, divergences and verdict of each row of docs.
 
@@ -153,7 +167,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     measured = measured.withColumns({"_points": points.cast("double"), "_words": words.cast("double")})
     first = _small(_references(measured, "all_chars", "all_common"))
     apart = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"])).filter(F.col("n_words") >= CHAR_LIMITS[0][0]).withColumn("_first", _distance(F.col("chars"), F.col("_points"), F.col("all_chars"))).drop("all_chars", "all_common", "all_chars_lang")
-    middle = _small(apart.groupBy(F.col("lang").alias("_lang")).agg(F.greatest(F.percentile_approx("_first", 0.5, 10_000), F.lit(NEAR)).alias("_reach")))
+    middle = _small(_middle(apart))
     near = apart.join(middle, apart["lang"].eqNullSafe(middle["_lang"])).filter(F.col("_first") <= F.col("_reach"))
     second = _small(_references(near, "ref_chars", "ref_common"))
     met = measured.join(first, measured["lang"].eqNullSafe(first["all_chars_lang"]), "left").join(second, measured["lang"].eqNullSafe(second["ref_chars_lang"]), "left")
