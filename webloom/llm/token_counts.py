@@ -10,6 +10,7 @@ block the number of documents before it and the ids that an unfinished document
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -70,20 +71,61 @@ def write_blocks(docs: DataFrame, path: str, pattern: str, end: int = END, block
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "file long, block long, data binary, ids array<long>, first long")
 
 
+def _opened(url: str):
+    """A file of a store that Arrow knows (local, HDFS, S3, GCS), by its Hadoop address; else None."""
+    from pyarrow import fs
+
+    url = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", url))
+    try:
+        store, path = fs.FileSystem.from_uri(url)
+    except pa.ArrowInvalid:
+        return None
+    return store.open_input_file(path)
+
+
 def read_blocks(spark: SparkSession, path: str, id_bytes: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, block, data) of flat token files at `path`, any store that Spark reads; file is a hash of the path.
 
-    A file is read as one binary value, as Spark's reader gives it, and dealt out in blocks.
+    Spark lists the files with their lengths, each block is a range of bytes, and the task of a block reads
+    that range alone. So a file may have any size, and many tasks share it. Of stores that Arrow can't open
+    a file is read as one binary value by Spark, which ends at 2 GiB. An empty file has one empty block; a
+    last id that is cut off is left out.
     """
+    kind, size = "file long, block long, data binary", block * id_bytes
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    if first is not None and _reachable(first[0]):
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for file, url, k, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    with _opened(url) as f:
+                        data = f.read_at(max(0, min(size, length - k * size)) // id_bytes * id_bytes, k * size)
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+        each = files.select(F.xxhash64("path").alias("file"), "path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0)))).alias("block"), "length")
+        # the rows are addresses: dealt by their hash, the blocks of one file go to many tasks
+        return each.repartition("file", "block").mapInArrow(ranges, kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = memoryview(content.as_buffer())
-                for k in range(0, max(1, -(-len(raw) // (block * id_bytes)))):
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(raw[k * block * id_bytes : (k + 1) * block * id_bytes])], pa.binary())], ["file", "block", "data"])
+                raw = raw[: len(raw) // id_bytes * id_bytes]
+                for k in range(0, max(1, -(-len(raw) // size))):
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(raw[k * size : (k + 1) * size])], pa.binary())], ["file", "block", "data"])
+
+    return files.select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, kind)
+
 
-    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, "file long, block long, data binary")
+def _reachable(url: str) -> bool:
+    try:
+        f = _opened(url)
+    except (OSError, pa.ArrowException):
+        return False
+    if f is not None:
+        f.close()
+    return f is not None
 
 
 def _scanner(end: int, id_bytes: int):
