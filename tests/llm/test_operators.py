@@ -95,25 +95,99 @@ def test_large_leaf_links_components_through_a_visitor(monkeypatch):
         assert got.roots().tolist() == want.roots().tolist()
 
 
-def test_search_is_exact(monkeypatch):
+def near_copies(rng, n, centres=40, most=6):
+    base = [rng.getrandbits(64) for _ in range(centres)]
+    return np.unique(np.array([base[rng.randrange(centres)] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(most))) for _ in range(n)], np.uint64))
+
+
+def slow_roots(fp, radius=4):
+    want = near_dup._Forest(len(fp))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
+    want.join(i, j)
+    return want.roots().tolist()
+
+
+@pytest.mark.parametrize(("scheme", "reach"), [((3, 1), 1), ((6, 2), 0), ((5, 1), 0), ((5, 2), 1), ((4, 1), 1), ((2, 1), 2)])
+def test_search_is_exact(monkeypatch, scheme, reach):
     monkeypatch.setattr(near_dup, "LEAF", 8)
-    rng = random.Random(3)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    fp = np.unique(np.array([base[rng.randrange(40)] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(900)], np.uint64))
-    masks = near_dup._masks(near_dup.BLOCKS)
+    fp = near_copies(random.Random(3), 900)
+    masks, got = near_dup.masks_of(*scheme, 4)
+    assert got == reach
     joined = near_dup._Forest(len(fp))
     for m in masks:
-        tree = near_dup._grow((fp & m)[:200], 3, np.random.default_rng(0))
-        row, shard, home = near_dup._route(fp & m, tree, near_dup.RADIUS // near_dup.BLOCKS)
+        tree = near_dup.grow((fp & m)[:200], 20, reach, np.random.default_rng(0))
+        row, shard, home = near_dup.route(fp & m, tree, reach)
         assert sorted(row[home].tolist()) == list(range(len(fp)))
+        assert tree.shards > 4 and (reach or len(row) == len(fp))
         for s in np.unique(shard):
             here = row[shard == s]
-            a, b = near_dup._search(fp[here], home[shard == s], m, near_dup.RADIUS // near_dup.BLOCKS, near_dup.RADIUS)
+            a, b = near_dup._search(fp[here], home[shard == s], m, reach, 4)
             joined.join(here[a], here[b])
-    want = near_dup._Forest(len(fp))
-    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= near_dup.RADIUS)
-    want.join(i, j)
-    assert joined.roots().tolist() == want.roots().tolist()
+    assert joined.roots().tolist() == slow_roots(fp)
+
+
+def test_shards_keep_to_their_size(monkeypatch):
+    """The plan for many fingerprints copies each a bounded number of times, and fills shards evenly."""
+    monkeypatch.setattr(near_dup, "SHARD", 500)
+    fp = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1 << 16).astype(np.uint64) * np.uint64(2))
+    masks, reach, trees = near_dup.plan(fp[:: len(fp) // 8192], len(fp), 4)
+    got = [near_dup.route(fp & m, t, reach) for m, t in zip(masks, trees, strict=True)]
+    assert sum(len(r) for r, _, _ in got) <= 15 * len(fp)
+    assert max(np.bincount(s).max() for _, s, _ in got) <= 2 * 500
+
+
+@pytest.mark.parametrize("shard", [50_000, 30])
+def test_links_of_a_table(spark, monkeypatch, shard):
+    monkeypatch.setattr(near_dup, "SHARD", shard)
+    fp = near_copies(random.Random(4), 700)
+    table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(5)
+    at = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    joined = near_dup._Forest(len(fp))
+    for r in near_dup.links(table).collect():
+        joined.join(np.array([at[r.a]]), np.array([at[r.b]]))
+    assert joined.roots().tolist() == slow_roots(fp)
+
+
+def varied(rng):
+    """Texts with exact and near copies, some short, some of no words."""
+    words = [f"v{k}" for k in range(400)]
+    texts = ["", " ", "one", "two words"]
+    for _ in range(25):
+        t = rng.choices(words, k=rng.choice([3, 6, 40, 400]))
+        texts.append(" ".join(t))
+        for _ in range(rng.randrange(4)):
+            u = list(t)
+            for _ in range(rng.randrange(3)):
+                u[rng.randrange(len(u))] = rng.choice(words)
+            texts.append(" ".join(u))
+    return texts
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_against_brute_force(spark, kind):
+    """Ids that repeat, with the same and with other texts, of both types."""
+    rng = random.Random(6)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"d{k:04d}")
+    rows = [(name(rng.randrange(60)), t) for t in varied(rng) for _ in range(rng.choice([1, 1, 2]))]
+    prints = np.array([slow_fingerprint(t) for _, t in rows], np.uint64)
+    roots = slow_roots(prints)
+    want = sorted((k, f"{int(f):016x}", min(rows[j][0] for j, x in enumerate(roots) if x == r)) for (k, _), f, r in zip(rows, prints, roots, strict=True))
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("__n", F.monotonically_increasing_id())
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(df).collect()) == want
+    kept = near_dup.keep_first(df).collect()
+    at = {(k, t): r for (k, t), r in zip(rows, roots, strict=True)}
+    # one row of each component, and it has the component's least id
+    assert sorted(at[r.doc_id, r.text] for r in kept) == sorted(set(roots))
+    assert all(r.doc_id == min(rows[j][0] for j, x in enumerate(roots) if x == at[r.doc_id, r.text]) for r in kept)
+
+
+def test_keep_first_is_by_row(spark):
+    t, u = "the quick brown fox jumps over it", "nothing in common with the other text at all"
+    schema = "doc_id long, text string, extra string"
+    kept = lambda rows: sorted((r.doc_id, r.text, r.extra) for r in near_dup.keep_first(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert kept([(1, t, "a"), (5, t, "b"), (5, u, "c")]) == [(1, t, "a"), (5, u, "c")]
+    assert kept([(5, t, "b"), (5, u, "c")]) == [(5, u, "c"), (5, t, "b")]
+    assert kept([(5, t, "b"), (5, t, "a"), (5, u, "c"), (6, u, "d")]) == [(5, u, "c"), (5, t, "a")]
 
 
 def test_dense_group():
@@ -144,20 +218,24 @@ def test_near_duplicates(odd, none):
 @pytest.mark.parametrize("block", [7, 1 << 18])
 def test_token_counts(odd, none, block):
     e = token_counts._encoding(RANKS, pattern())
-    want = sorted((r.doc_id or -1, len(e.encode_ordinary(r.text or "")) + 1) for r in odd.filter("doc_id is null or doc_id <> 6").collect())
-    got = token_counts.count(odd.filter("doc_id is null or doc_id <> 6"), RANKS, pattern(), block=block).collect()
+    want = sorted((r.doc_id or -1, len(e.encode_ordinary(r.text or "")) + 1) for r in odd.collect())
+    got = token_counts.count(odd, RANKS, pattern(), block=block).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == want
     assert token_counts.count(none, RANKS, pattern()).count() == 0
 
 
-def test_token_files(spark, tmp_path):
-    """Flat files without an index: ends in other blocks, none in a block, one file unfinished, one empty."""
+@pytest.mark.parametrize("ranges", [True, False])
+def test_token_files(spark, tmp_path, monkeypatch, ranges):
+    """Flat files without an index: ends in other blocks, none in a block, one file unfinished, one empty, one cut off."""
+    if not ranges:
+        monkeypatch.setattr(token_counts, "_reachable", lambda url: False)
     files = {"a.bin": [1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 9], "b.bin": [1] * 20 + [9, 5], "c.bin": []}
     for name, ids in files.items():
-        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
-    scanned = token_counts.scan(token_counts.read_blocks(spark, str(tmp_path), 2, 3), 9, 2)
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes() + b"\x09" * (name == "b.bin"))
+    blocks = token_counts.read_blocks(spark, str(tmp_path), 2, 3)
+    assert max(len(r.data) for r in blocks.collect()) == 6
     got = collections.defaultdict(dict)
-    for r in token_counts.stitch(scanned).collect():
+    for r in token_counts.stitch(token_counts.scan(blocks, 9, 2)).collect():
         got[r.file][r.doc_no] = r.n_tokens
     assert sorted([v for _, v in sorted(d.items())] for d in got.values()) == [[3, 1, 7], [21]]
 
@@ -302,7 +380,7 @@ def test_quality_verdicts(spark):
     m = quality.measure(pa.array([t for _, t, _ in clean + junk]))
     shares = {k: m[k] / m[k].sum(1, keepdims=True) for k in ("chars", "common")}
     first = [slow_distance(x, shares["chars"].mean(0)) for x in m["chars"]]
-    near = np.array(first) <= max(quality.NEAR, np.sort(first)[(len(first) - 1) // 2] + 1e-12)
+    near = np.array(first) <= max(quality.NEAR, np.ceil(np.sort(first)[(len(first) - 1) // 2] * quality.STEPS) / quality.STEPS + 1e-12)
     for k, r in enumerate([*clean, *junk]):
         got = rows[r[0]]
         assert got.js_chars == pytest.approx(slow_distance(m["chars"][k], shares["chars"][near].mean(0)), abs=1e-8)
@@ -423,7 +501,7 @@ def test_licences(spark):
 
 
 def test_licences_of_odd_rows(odd):
-    rows = licences.of_documents(odd.drop("key")).collect()
+    rows = licences.of_documents(odd).collect()
     assert len(rows) == 11 and {r.licence for r in rows if r.doc_id == 9} == {"Apache-2.0"}
 
 
@@ -499,11 +577,30 @@ def test_decontamination(spark):
 
 
 def test_decontamination_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PART_ITEMS", 3)
-    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(10)]
-    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items], "doc_id long, text string")
-    got = decontaminate.contained(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(10)]
+    """The number of parts changes nothing, also where an item has several texts and rows."""
+    items = [(k % 10, " ".join(f"i{k % 14}w{j}" for j in range(12))) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"before {t} after {u}") for k, ((_, t), (_, u)) in enumerate(zip(items, items[3:], strict=False))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in decontaminate.contained(docs, bench).collect())
+    whole = found()
+    assert {(r, i): s for r, i, s in whole} == pytest.approx(slow_contained([tuple(r) for r in docs.collect()], items, 0.8)) and len({x[:2] for x in whole}) == len(whole)
+    for n in (1, 3):
+        monkeypatch.setattr(decontaminate, "PART_ITEMS", n)
+        assert found() == whole
+
+
+def test_decontamination_of_scattered_items(spark):
+    """An item that is torn into ten pieces, each in another place, is found by its shingles all the same."""
+    rng = random.Random(12)
+    plain = [f"v{k}" for k in range(3000)]
+    items = [(k, [f"i{k}w{j}" for j in range(400)]) for k in range(40)]
+    docs = []
+    for k, w in items:
+        pieces_ = [w[x : x + 40] for x in range(0, 400, 40)]
+        rng.shuffle(pieces_)
+        docs.append((k, " ".join(x for p in pieces_ for x in [*p, *rng.choices(plain, k=30)])))
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(40)}
 
 
 def test_decontamination_of_odd_rows(spark, odd, none):
