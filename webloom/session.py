@@ -19,6 +19,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -51,10 +52,18 @@ def ship(spark: SparkSession) -> None:
     sc._webloom_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage in the folder all executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir). On one machine a temporary one stands in; a cluster must name it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="webloom-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage in the folder all executors share."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
