@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,77 +38,133 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def fnv1a64(s: str) -> int:
-    """FNV-1a over UTF-16 code units."""
+def _fnv1a(units: list[int]) -> int:
     h = _OFFSET
-    for unit in np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+    for unit in units:
         h = ((h ^ unit) * _PRIME) & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def fnv1a64(s: str) -> int:
+    """FNV-1a over UTF-16 code units."""
+    return _fnv1a(np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2").tolist())
+
+
 def _tokens(s: str) -> list[str]:
     # characters past the basic plane are pairs of code units, both in the kept range
     return re.sub(_DROP, lambda m: m[0] if ord(m[0]) > 0xFFFF else " ", s.lower()).split()
 
 
-def simhash_of(s: str | None) -> int:
-    """64 equal votes of 3-grams; a tie is 0, and so is an empty text.
+#: Code units past which a gram is hashed by itself, UTF-8 bytes of texts and grams of one vectorised step.
+_LONG, _STEP, _VOTES = 512, 1 << 20, 1 << 17
+
+
+def simhashes(texts: list[str | None]) -> np.ndarray:
+    """The fingerprint of each text: 64 equal votes of 3-grams; a tie is 0, and so is an empty text.
 
-    Codes are padded to one matrix, so the hash runs over code units column by column.
+    All texts' tokens stand in one buffer of code units, a space after each, so a gram is a range of it and
+    FNV-1a goes over all grams at once, unit by unit.
     """
-    words = _tokens(s or "")
-    if not words:
-        return 0
-    grams = [" ".join(words[k : k + GRAM]) for k in range(max(1, len(words) - GRAM + 1))]
-    votes = np.zeros(BITS, np.int64)
+    words = [_tokens(t or "") for t in texts]
+    n_words = np.array([len(w) for w in words], np.int64)
+    units = np.frombuffer("".join(" ".join(w) + " " for w in words if w).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    ends = np.flatnonzero(units == 32)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
+    n_grams = np.where(n_words > 0, np.maximum(1, n_words - GRAM + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), n_grams)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
+    first = np.repeat(np.cumsum(n_words) - n_words, n_grams) + inner
+    lo = starts[first] if len(first) else first
+    hi = ends[first + np.minimum(n_words, GRAM)[owner] - 1] if len(first) else first
+    size = hi - lo
+    order = np.argsort(-size, kind="stable")
+    at, size = lo[order], size[order]
+    h = np.full(len(order), _OFFSET, np.uint64)
+    long = int(np.searchsorted(-size, -_LONG, "left"))
     with np.errstate(over="ignore"):
-        for a in range(0, len(grams), 4096):
-            part = [np.frombuffer(g.encode("utf-16-le"), "<u2") for g in grams[a : a + 4096]]
-            size = np.array([len(p) for p in part])
-            order = np.argsort(-size, kind="stable")
-            flat = np.zeros((len(part), size.max()), np.uint64)
-            for r, k in enumerate(order):
-                flat[r, : size[k]] = part[k]
-            live = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), "right")
-            h = np.full(len(part), _OFFSET, np.uint64)
-            for c in range(flat.shape[1]):
-                n = live[c]
-                h[:n] = (h[:n] ^ flat[:n, c]) * np.uint64(_PRIME)
-            votes += 2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) - len(part)
-    return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint) as a signed long."""
+        live = np.searchsorted(-size, -np.arange(1, min(_LONG, int(size[0])) + 1), "right") if len(size) else []
+        for c, k in enumerate(live):
+            h[:k] = (h[:k] ^ units[at[:k] + c]) * np.uint64(_PRIME)
+    for k in range(long):
+        h[k] = _fnv1a(units[at[k] : at[k] + size[k]].tolist())
+    hashed = np.empty(len(h), np.uint64)
+    hashed[order] = h
+    votes = np.zeros((len(texts), BITS), np.int64)
+    for a in range(0, len(hashed), _VOTES):
+        bits = np.unpackbits(hashed[a : a + _VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        mine = owner[a : a + _VOTES]
+        edge = np.flatnonzero(np.diff(mine, prepend=-1))
+        votes[mine[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n_grams[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def simhash_of(s: str | None) -> int:
+    """The fingerprint of one text."""
+    return int(simhashes([s])[0])
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, fingerprint) as a signed long; of a table or a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([simhash_of(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], [key, "fingerprint"])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            a = 0
+            while a < len(texts):
+                z, room = a, _STEP
+                while z < len(texts) and (z == a or room > 0):
+                    room -= len(texts[z] or "")
+                    z += 1
+                got = simhashes(texts[a:z])
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[a:z] for k in range(b.num_columns - 1)), pa.array(got.view(np.int64))], [key, *keep, "fingerprint"])
+                a = z
+
+    return docs.select(key, *keep, text).mapInArrow(run, T.StructType([*(docs.schema[c] for c in (key, *keep)), T.StructField("fingerprint", T.LongType())]))
+
+
+#: Ways to cut 64 bits: so many blocks, of which so many make a band; near fingerprints share a band.
+_CUTS = ((4, 1), (5, 2), (6, 3), (8, 5))
+#: Fingerprints that evenly spread ones should have in a bucket, at most.
+_BUCKET = 16
+
 
-    return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("fingerprint", T.LongType())]))
+def bands(n: int, threshold: int) -> list[int]:
+    """Masks of which two fingerprints that differ in `threshold` bits or fewer agree under one at least.
+
+    Of `blocks` blocks, blocks - threshold are untouched; a band is made of so many. The more fingerprints
+    there are, the more bits a band has, so that buckets stay small.
+    """
+    cuts = [(b + threshold - 3, c) for b, c in _CUTS]
+    for blocks, chosen in cuts:
+        edges = [BITS * k // blocks for k in range(blocks + 1)]
+        each = [((1 << (z - a)) - 1) << a for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        masks = [sum(c) for c in combinations(each, chosen)]
+        if (blocks, chosen) == cuts[-1] or n >> min(m.bit_count() for m in masks) < _BUCKET:
+            return [m - (1 << BITS) if m >> 63 else m for m in masks]
+    raise AssertionError
+
+
+def _banded(fp: Column, masks: list[int]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks)))).alias("band")
 
 
 def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """(a, b, distance), a before b, of keys whose fingerprints differ in `threshold` bits or fewer.
 
-    threshold + 1 bands: of two near fingerprints one band is equal. Equal fingerprints are merged first, and
-    pairs of merged ones are found once, in the first band that they share, so copies cost nothing in the join:
-    a and b are each the least key of their fingerprint, and `copies` links the other holders to it.
+    Two near fingerprints agree in a band. Equal fingerprints are merged first, and pairs of merged ones are
+    found once, in the first band that they share, so copies cost nothing in the join: a and b are each the
+    least key of their fingerprint, and `copies` links the other holders to it.
     """
-    bands = threshold + 1
-    edges = [BITS * k // bands for k in range(bands + 1)]
-    mask = [((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    fp = F.col("fingerprint")
-    band = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit(mask[k]))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band(fp, k).alias("v")) for k in range(bands)))).alias("band")
-    m = prints.groupBy("fingerprint").agg(F.min(key).alias("node")).select("fingerprint", "node", each).select("fingerprint", "node", "band.*")
+    merged = checkpointed(prints.groupBy("fingerprint").agg(F.min(key).alias("node")).filter("node is not null"))
+    masks = bands(merged.count(), threshold)
+    m = merged.select("fingerprint", "node", _banded(F.col("fingerprint"), masks)).select("fingerprint", "node", "band.*")
     left, right = m.select("k", "v", F.col("node").alias("a"), F.col("fingerprint").alias("fa")), m.select("k", "v", F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-    near = left.join(right, ["k", "v"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= threshold))
+    apart = F.col("fa").bitwiseXOR(F.col("fb"))
+    near = left.join(right, ["k", "v"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= threshold))
     earlier = F.lit(False)
-    for k in range(bands):
-        earlier |= (F.lit(k) < F.col("k")) & (band(F.col("fa"), k) == band(F.col("fb"), k))
-    return near.filter(~earlier).select("a", "b", hamming(F.col("fa"), F.col("fb")).alias("distance"))
+    for k, mask in enumerate(masks[:-1]):
+        earlier |= (F.lit(k) < F.col("k")) & (apart.bitwiseAND(F.lit(mask).cast("long")) == 0)
+    return near.filter(~earlier).select("a", "b", F.bit_count(apart).alias("distance"))
 
 
 def copies(prints: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,39 +178,44 @@ def copies(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     return held.select("a", F.col(key).alias("b"), F.lit(0).alias("distance")).distinct()
 
 
-def leaders(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", rounds: int = 100) -> DataFrame:
+def leaders(prints: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, is_duplicate): in the order of key, a row is a duplicate if an earlier leader is near.
 
     Copies follow their first row. Among first rows the greedy choice is reached by rounds: a row whose nearer
-    earlier ones are all settled is settled; each round settles at least the first open row of each group.
+    earlier ones are all settled is settled; each round settles at least the first open row of each group, so
+    there are as many rounds as the longest chain of near rows needs.
     """
     prints = checkpointed(prints.select(key, "fingerprint"))
     pairs = checkpointed(near_pairs(prints, threshold, key).select(F.col("a"), F.col("b")))
     first = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     state = checkpointed(first.select("node").join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("node", F.lit(None).cast("boolean").alias("leads")))
-    for _ in range(rounds):
-        open_ = state.filter("leads is null")
-        if open_.isEmpty():
-            break
+    while not (open_ := state.filter("leads is null")).isEmpty():
         # an earlier neighbour without an earlier neighbour of its own is a leader
         before = open_.join(pairs, open_["node"] == pairs["b"]).select("node", "a").join(state.select(F.col("node").alias("a"), "leads", F.lit(True).alias("held")), "a", "left")
         told = before.groupBy("node").agg(F.max(F.col("held").isNull() | F.coalesce("leads", F.lit(False))).alias("hit"), F.max(F.col("held").isNotNull() & F.col("leads").isNull()).alias("wait"))
         state = checkpointed(state.join(told, "node", "left").select("node", F.coalesce("leads", F.when(F.col("hit"), False).when(~F.col("wait"), True)).alias("leads")))
-    else:
-        raise RuntimeError(f"leaders did not settle in {rounds} rounds")
     settled = first.join(state, "node", "left").select(F.col("fingerprint").alias("_fp"), F.col("node").alias("_node"), F.coalesce("leads", F.lit(True)).alias("_leads"))
     return prints.join(settled, prints["fingerprint"] == settled["_fp"]).select(key, "fingerprint", (~((F.col(key) == F.col("_node")) & F.col("_leads"))).alias("is_duplicate"))
 
 
-def nearest(prints: DataFrame, store: DataFrame, threshold: int, key: str = "doc_id") -> DataFrame:
-    """(key, distance) to the nearest stored fingerprint within threshold; a key without one is not listed."""
-    bands = threshold + 1
-    edges = [BITS * k // bands for k in range(bands + 1)]
-    each = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("v")) for k in range(bands)))).alias("band")
-    q = prints.select(key, F.col("fingerprint").alias("fa"), each(F.col("fingerprint"))).select(key, "fa", "band.*")
-    s = store.select(F.col("fingerprint").alias("fb")).distinct().select("fb", each(F.col("fb"))).select("fb", "band.*")
+def nearest(prints: DataFrame, store: DataFrame, threshold: int, key: str = "doc_id", others: bool = False) -> DataFrame:
+    """(key, distance) to the nearest stored fingerprint within threshold; a key without one is not listed.
+
+    With `others` a key's own fingerprint in the store doesn't count, unless another key holds the same one.
+    """
+    ends = [F.min(key).alias("least"), F.max(key).alias("most")] if others else []
+    kept = checkpointed(store.groupBy(F.col("fingerprint").alias("fb")).agg(F.count("*").alias("n"), *ends))
+    masks = bands(kept.count(), threshold)
+    own = F.min(key).alias("k0"), F.max(key).alias("k1")
+    asked = prints.groupBy(F.col("fingerprint").alias("fa")).agg(*own)
+    q = asked.select("fa", "k0", "k1", _banded(F.col("fa"), masks)).select("fa", "k0", "k1", "band.*")
+    s = kept.select("fb", *(["least", "most"] if others else []), _banded(F.col("fb"), masks)).select("fb", *(["least", "most"] if others else []), "band.*")
     near = q.join(s, ["k", "v"]).withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))).filter(F.col("distance") <= threshold)
-    return near.groupBy(key).agg(F.min("distance").alias("distance"))
+    if others:
+        # equal fingerprints, and every holder on both sides is one key
+        near = near.filter(~((F.col("fa") == F.col("fb")) & (F.col("least") == F.col("most")) & (F.col("k0") == F.col("least")) & (F.col("k1") == F.col("least"))))
+    least = checkpointed(near.groupBy("fa").agg(F.min("distance").alias("distance")))
+    return prints.join(least, prints["fingerprint"] == least["fa"]).select(key, "distance")
 
 
 def first_urls(df: DataFrame, url: str = "url", order: str = "ordinal", **options) -> DataFrame:
