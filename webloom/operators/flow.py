@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -13,22 +14,25 @@ from pyspark.sql.window import Window
 from webloom.session import checkpointed
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_urls: int | None = None, max_depth: int = 50, failed: DataFrame | None = None, follow: Column | None = None, visited: DataFrame | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, max_urls: int | None = None, max_depth: int | None = None, failed: DataFrame | None = None, follow: Column | None = None, visited: DataFrame | None = None, visit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(url, depth, ordinal, ok) in breadth-first order over edges(src, dst, pos) from seeds(url, pos).
 
     A frontier is joined with its links and cut by what has been visited; each depth is checkpointed. Within a
     depth the order is that of the parent, then of the link. max_urls is exact. Failed URLs count as visited,
-    are not followed, and have ok = false. `visited` (the same columns) resumes an earlier crawl.
+    are not followed, and have ok = false. `visited` (the same columns) resumes an earlier crawl. Without
+    max_depth and max_urls the crawl ends where no link leads to a new URL. `visit`, a function of a depth's
+    DataFrame(url, depth, ordinal), returns it with a column ok and whatever else it found: it takes the place
+    of `failed`, and what it found is in the result. (V7)
     """
     out = None
     if visited is not None:
-        out = checkpointed(visited.select("url", "depth", "ordinal", "ok"))
+        out = checkpointed(visited)
         start = out.agg(F.max("depth")).first()[0] or 0
         frontier = out.filter(F.col("depth") == start)
         depth, done = start, out.count()
     else:
-        one = Window.orderBy("pos")
-        frontier = seeds.groupBy("url").agg(F.min("pos").alias("pos")).select("url", F.lit(0).alias("depth"), (F.row_number().over(one) - 1).cast("bigint").alias("ordinal"))
+        first = seeds.groupBy("url").agg(F.struct(F.min("pos"), F.col("url")).alias("_at"))
+        frontier = _numbered(first, "_at", 0).select("url", F.lit(0).alias("depth"), "ordinal")
         depth, done = 0, 0
     bad = failed.select(F.col("url").alias("_bad")).distinct() if failed is not None else None
     links = edges if follow is None else edges.filter(follow)
@@ -36,17 +40,19 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_urls: int | None = None, max_d
         if visited is None or depth > start:
             if max_urls is not None:
                 frontier = frontier.filter(F.col("ordinal") < max_urls)
-            if bad is not None:
+            if visit is not None:
+                frontier = visit(frontier)
+            elif bad is not None:
                 frontier = frontier.join(bad, F.col("url") == F.col("_bad"), "left").withColumn("ok", F.col("_bad").isNull()).drop("_bad")
             else:
                 frontier = frontier.withColumn("ok", F.lit(True))
-            frontier = checkpointed(frontier.select("url", "depth", "ordinal", "ok"))
+            frontier = checkpointed(frontier if visit is not None else frontier.select("url", "depth", "ordinal", "ok"))
             n = frontier.count()
-            out = frontier if out is None else out.unionAll(frontier)
+            out = frontier if out is None else out.unionByName(frontier)
             done += n
             if not n:
                 break
-        if depth >= max_depth or (max_urls is not None and done >= max_urls):
+        if (max_depth is not None and depth >= max_depth) or (max_urls is not None and done >= max_urls):
             break
         found = frontier.filter("ok").select(F.col("url").alias("src"), "ordinal").join(links, "src").groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("ordinal", "pos", F.col("src"))).alias("_at"))
         fresh = found.join(out.select("url"), "url", "left_anti")
@@ -71,18 +77,36 @@ def crawl_stats(crawled: DataFrame, edges: DataFrame) -> DataFrame:
     return crawled.agg(F.count("*").alias("visited"), F.count_if("ok").alias("results")).join(queued.agg(F.count("*").alias("queued")))
 
 
-def paginate(pages: DataFrame, starts: DataFrame, max_pages: int = 10) -> DataFrame:
-    """(start, page_no, url, items) along pages(url, next_url, items) from starts(url), until a page repeats the one before."""
+def chained(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, step) along links(node, next) from starts(start, node), step 0 first, fewer than `most` steps.
+
+    Of several links of a node the least counts. Steps are found by doubling: what is reached by n steps and a
+    table of jumps of n steps give what is reached by 2n, so a chain of a million takes twenty rounds. A chain
+    without an end goes on to `most`, else to as many steps as there are links.
+    """
+    jump = checkpointed(links.filter("next is not null").groupBy("node").agg(F.min("next").alias("next")))
+    most = jump.count() + 1 if most is None else most
+    out, reach = checkpointed(starts.select("start", "node", F.lit(0).cast("bigint").alias("step")).distinct()), 1
+    while reach < most:
+        more = checkpointed(out.join(jump, "node").select("start", F.col("next").alias("node"), (F.col("step") + reach).alias("step")).filter(F.col("step") < most))
+        if more.isEmpty():
+            break
+        out, reach = checkpointed(out.unionAll(more)), reach * 2
+        ahead = jump.select(F.col("node").alias("_n"), F.col("next").alias("_x"))
+        jump = checkpointed(jump.join(ahead, jump["next"] == ahead["_n"]).select("node", F.col("_x").alias("next")))
+    return out.filter(F.col("step") < most)
+
+
+def paginate(pages: DataFrame, starts: DataFrame, max_pages: int | None = 10) -> DataFrame:
+    """(start, page_no, url, items) along pages(url, next_url, items) from starts(url), until a page repeats the one before.
+
+    At most max_pages pages of each start; None for all.
+    """
     from webloom.operators.dedup import until_repeat
 
-    now = starts.select(F.col("url").alias("start"), "url", F.lit(1).alias("page_no"))
-    p = pages.select(F.col("url").alias("_u"), "next_url", "items")
-    out = None
-    for n in range(1, max_pages + 1):
-        met = now.join(p, F.col("url") == F.col("_u")).drop("_u")
-        out = met.select("start", "page_no", "url", "items") if out is None else out.unionAll(met.select("start", "page_no", "url", "items"))
-        now = met.filter("next_url is not null").select("start", F.col("next_url").alias("url"), F.lit(n + 1).alias("page_no"))
-    return until_repeat(out, "start", "page_no", "items")
+    found = chained(pages.select(F.col("url").alias("node"), F.col("next_url").alias("next")), starts.select(F.col("url").alias("start"), F.col("url").alias("node")), max_pages)
+    met = found.join(pages.select(F.col("url").alias("node"), "items"), "node").select("start", (F.col("step") + 1).cast("int").alias("page_no"), F.col("node").alias("url"), "items")
+    return until_repeat(met, "start", "page_no", "items")
 
 
 # --- pure window replays -------------------------------------------------------------------------------------
@@ -103,6 +127,17 @@ def single_flight(requests: DataFrame, key: str = "key", start: str = "start", e
     return out.withColumn("flight", F.sum((~F.col("joined")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def single_flight_stats(flights: DataFrame, ok: str | None = None, bypass: str | None = None) -> DataFrame:
+    """started, joined, bypassed and failures of single_flight's rows; ok and bypass name boolean columns.
+
+    A request with bypass goes alone: it isn't part of a flight, and should not be among the rows given to
+    single_flight.
+    """
+    alone = F.coalesce(F.col(bypass), F.lit(False)) if bypass else F.lit(False)
+    bad = ~F.coalesce(F.col(ok), F.lit(False)) if ok else F.lit(False)
+    return flights.agg(F.count_if(~F.col("joined") & ~alone).alias("started"), F.count_if(F.col("joined") & ~alone).alias("joined"), F.count_if(alone).alias("bypassed"), F.count_if(bad & ~F.col("joined")).alias("failures"))
+
+
 def cache_ttl(requests: DataFrame, ttl_ms: int, stale_ms: int = 0, key: str = "key", at: str = "at", order: str = "seq") -> DataFrame:
     """requests with outcome hit, stale or miss, and age.
 
@@ -218,39 +253,77 @@ THROTTLE = "slots int, delay_ms bigint"
 
 
 def queue_step(lease_ms: int = 30_000, most: int = 3) -> Callable[[dict, dict], dict]:
-    """A queue over events(at, op, item, priority): enqueue, dequeue, complete, fail.
+    """A queue over events(at, op, item, priority) in the order of time: enqueue, dequeue, complete, fail.
 
-    The lowest priority number goes first, then the earliest. A lease that runs out gives its item back with
-    its priority; a failed item comes back with priority 0, and after `most` tries goes to the dead letters.
+    The lowest priority number goes first, then the earliest, then the first put in. A waiting or done item
+    isn't put in again; a leased one may be, and is passed over while its lease lasts. A dequeue first gives
+    back the items of leases that have run out, with their priority and as of now. A failed item comes back
+    with priority 0 as of now, and at its `most`-th failure goes to the dead letters, which count as done.
     """
 
+    def put(s: dict, item: str, priority: int, at: int) -> None:
+        if item not in s["queued"] and item not in s["done"]:
+            heapq.heappush(s["heap"], [priority, at, s["seq"], item])
+            s["queued"][item] = True
+            s["seq"] += 1
+
+    def finish(s: dict, item: str) -> None:
+        s["leased"].pop(item, None)
+        s["done"][item] = True
+
     def step(s: dict, e: dict) -> dict:
-        waiting, leased, done, dead = (s.setdefault(k, {}) for k in ("waiting", "leased", "done", "dead"))
-        now, op, item = int(e["at"]), e["op"], e["item"]
-        for k in [k for k, v in leased.items() if v["until"] <= now]:
-            waiting[k] = leased.pop(k)
-        got = None
-        if op == "enqueue" and item not in waiting and item not in leased and item not in done and item not in dead:
+        for name, empty in (("heap", []), ("queued", {}), ("leased", {}), ("done", {}), ("dead", {}), ("failures", {}), ("seq", 0)):
+            s.setdefault(name, empty)
+        now, op, item, got = int(e["at"]), e["op"], e["item"], None
+        if op == "enqueue":
             p = e.get("priority")
-            waiting[item] = {"priority": 0 if p is None or pd.isna(p) else int(p), "at": now, "seq": s.setdefault("seq", 0), "tries": 0}
-            s["seq"] += 1
-        elif op == "dequeue" and waiting:
-            got = min(waiting, key=lambda k: (waiting[k]["priority"], waiting[k]["at"], waiting[k]["seq"]))
-            leased[got] = waiting.pop(got) | {"until": now + lease_ms}
-        elif op == "complete" and item in leased:
-            done[item] = leased.pop(item)
-        elif op == "fail" and item in leased:
-            v = leased.pop(item)
-            v["tries"] += 1
-            if v["tries"] >= most:
-                dead[item] = v
+            put(s, item, 0 if p is None or pd.isna(p) else int(p), now)
+        elif op == "dequeue":
+            # leases stand in the order of their times
+            for k in list(s["leased"]):
+                since, priority = s["leased"][k]
+                if now - since < lease_ms:
+                    break
+                del s["leased"][k]
+                put(s, k, priority, now)
+            while s["heap"] and got is None:
+                priority, _, _, k = heapq.heappop(s["heap"])
+                del s["queued"][k]
+                if k not in s["leased"] and k not in s["done"]:
+                    s["leased"][k], got = [now, priority], k
+        elif op == "complete":
+            finish(s, item)
+            s["failures"].pop(item, None)
+        elif op == "fail":
+            s["failures"][item] = s["failures"].get(item, 0) + 1
+            if s["failures"][item] >= most:
+                finish(s, item)
+                s["dead"][item] = s["failures"][item]
             else:
-                waiting[item] = v | {"priority": 0}
-        return {"leased_item": got, "n_waiting": len(waiting), "n_leased": len(leased), "n_done": len(done), "n_dead": len(dead)}
+                s["leased"].pop(item, None)
+                put(s, item, 0, now)
+        return {"leased_item": got, "n_waiting": len(s["heap"]), "n_leased": len(s["leased"]), "n_done": len(s["done"]), "n_dead": len(s["dead"])}
 
     return step
 
 
+def work(queue: DataFrame, visit: Callable[[DataFrame], DataFrame], most: int = 3, key: str = "item") -> DataFrame:
+    """(key, ok, attempts, result...) of visiting every item of a queue, a failed one up to `most` times.
+
+    visit takes the items still open and returns their rows with a column ok and whatever else it found. Items
+    are independent, so a round visits all open ones at once; each round is checkpointed.
+    """
+    open_, out = checkpointed(queue.dropDuplicates([key])), None
+    for n in range(1, most + 1):
+        seen = checkpointed(visit(open_).withColumn("attempts", F.lit(n)))
+        last = seen if n == most else seen.filter("ok")
+        out = last if out is None else out.unionByName(last)
+        open_ = open_.join(seen.filter("not ok").select(key), key, "left_semi")
+        if n < most and open_.isEmpty():
+            break
+    return out
+
+
 QUEUE = "leased_item string, n_waiting int, n_leased int, n_done int, n_dead int"
 
 
@@ -325,9 +398,38 @@ def catch_up(jobs: DataFrame, now_ms: int, run_missed: bool = False) -> DataFram
     return jobs.withColumns({"missed": F.col("missed") + F.when(late, 1).otherwise(0), "next_run_at": F.when(late, ahead).otherwise(F.col("next_run_at"))})
 
 
-def job_stats(jobs: DataFrame) -> DataFrame:
-    """(A12)"""
-    return jobs.agg(F.count("*").alias("jobs"), F.count_if("enabled").alias("enabled"), F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"))
+def job_stats(jobs: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """jobs, enabled and runs; with ticks(at, started, errors, skipped, running) also what they add up to.
+
+    running is that of the last tick.
+    """
+    out = jobs.agg(F.count("*").alias("jobs"), F.count_if("enabled").alias("enabled"), F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"))
+    if ticks is None:
+        return out
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return out.join(F.broadcast(ticks.agg(F.count("*").alias("ticks"), total("started"), total("errors"), total("skipped"), F.coalesce(F.max_by("running", "at"), F.lit(0)).alias("running"))))
+
+
+def run_jobs(jobs: DataFrame, now_ms: int, handlers: dict[str, Callable[[DataFrame], DataFrame]], running: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """tick(), and each started job's handler: (jobs after, runs).
+
+    A handler takes its started jobs (id, started_at) and returns them with ok and error; jobs(handler) names
+    it. A job whose handler isn't given doesn't run and is left as it was.
+    """
+    known = F.col("handler").isin(*handlers)
+    after, started = tick(jobs.filter(known), now_ms, running)
+    started = checkpointed(started.join(jobs.select("id", "handler"), "id"))
+    runs = None
+    for name, handler in handlers.items():
+        done = handler(started.filter(F.col("handler") == name).select("id", "started_at")).select("id", "started_at", F.lit(name).alias("handler"), "ok", "error")
+        runs = done if runs is None else runs.unionAll(done)
+    return after.unionByName(jobs.filter(~F.coalesce(known, F.lit(False)))), runs
+
+
+def shuffled(items: DataFrame, key: str, seed: int) -> DataFrame:
+    """items with `turn`, their place in an order drawn by a seed: the same for the same keys and seed."""
+    drawn = items.withColumn("_drawn", F.struct(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key)))
+    return _numbered(drawn, "_drawn", 0).withColumnRenamed("ordinal", "turn").drop("_drawn")
 
 
 def with_records(index: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:

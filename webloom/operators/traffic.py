@@ -10,16 +10,11 @@ from webloom.functions import headers as H
 from webloom.functions import url as U
 from webloom.functions.encoding import truncate
 from webloom.jsonx import schema as S
+from webloom.session import checkpointed
 
 MAX_SAMPLE, SAMPLES = 4000, 3
 
 
-def _histogram(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys and `column`s: array of (value, n), sorted; counts first, so a group's rows never meet."""
-    one = df.groupBy(*keys, F.col(column).cast("string").alias("_v")).agg(F.count("*").alias("_n"))
-    return one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_v").alias("value"), F.col("_n").alias("n")))).alias(column))
-
-
 def endpoints(entries: DataFrame, include_static: bool = False, with_schema: bool = False, with_sample: bool = False, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Entries grouped by method and URL template.
 
@@ -30,20 +25,27 @@ def endpoints(entries: DataFrame, include_static: bool = False, with_schema: boo
     e = (entries if include_static else entries.filter(api)).withColumn("template", U.template("url"))
     k = ["method", "template"]
     distinct = lambda c: F.array_sort(F.collect_set(c))
+    # one row for each different combination: all histograms and sets are made of these few
+    mime = F.nullif(F.trim(F.substring_index("mime_type", ";", 1)), F.lit(""))
+    base = e.groupBy(*k, F.col("status").cast("string").alias("status"), mime.alias("mime"), "source", "resource_type", F.array_sort(F.array_distinct(U.query_params("url"))).alias("names")).agg(
+        F.count("*").alias("n"), F.sum("time").alias("time"), F.min(F.struct(F.col("ordinal").alias("o"), U.authority("url").alias("h"))).alias("first")
+    )
+    base = checkpointed(base)
     # the first ids: a bounded ordered list by partial aggregation of minima is not built in, so by rank
     w = Window.partitionBy(*k).orderBy("ordinal")
     firsts = e.select(*k, "id", "ordinal").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLES).groupBy(*k).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "id"))), lambda x: x["id"]).alias("sample_ids"))
-    params = e.select(*k, F.explode(F.array_distinct(U.query_params("url"))).alias("_p")).groupBy(*k).agg(distinct("_p").alias("params"))
-    g = e.groupBy(*k).agg(
-        F.count("*").alias("count"),
-        F.min_by(U.authority("url"), "ordinal").alias("host"),
-        distinct(F.nullif(F.trim(F.substring_index("mime_type", ";", 1)), F.lit(""))).alias("mime_types"),
+    g = base.groupBy(*k).agg(
+        F.sum("n").alias("count"),
+        F.min("first")["h"].alias("host"),
+        distinct("mime").alias("mime_types"),
         distinct("source").alias("sources"),
         distinct("resource_type").alias("resource_types"),
-        F.floor(F.sum("time") / F.count("*") + 0.5).cast("bigint").alias("average_time"),
+        F.floor(F.sum("time") / F.sum("n") + 0.5).cast("bigint").alias("average_time"),
         F.max(F.col("resource_type") != "document").alias("api"),
     )
-    out = g.join(_histogram(e, k, "status").withColumnRenamed("status", "statuses"), k).join(firsts, k).join(params, k, "left")
+    statuses = base.groupBy(*k, F.col("status").alias("_v")).agg(F.sum("n").alias("_n")).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct(F.col("_v").alias("value"), F.col("_n").alias("n")))).alias("statuses"))
+    params = base.select(*k, F.explode("names").alias("_p")).groupBy(*k).agg(distinct("_p").alias("params"))
+    out = g.join(statuses, k).join(firsts, k).join(params, k, "left")
     out = out.withColumn("params", F.coalesce("params", F.array().cast("array<string>"))).withColumn("path", F.regexp_replace("template", "(?i)^[a-z]+://[^/]+", ""))
     if with_schema:
         bodies = e.filter("response_body is not null and response_body <> ''")
@@ -165,12 +167,65 @@ def errors(outcomes: DataFrame) -> DataFrame:
     return bad.select(F.coalesce("code", F.col("status").cast("string"), F.lit("UNKNOWN")).alias("code"), error_category(F.col("code"), F.col("name"), F.col("status")).alias("category")).groupBy("code", "category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code", "category")
 
 
-def prometheus(report: DataFrame, prefix: str = "webloom") -> DataFrame:
-    """(metrics): the report of observability() in the text exposition format."""
+def totals(outcomes: DataFrame, elapsed_sec: float) -> DataFrame:
+    """One row: total, success, failed, success_rate, rps, sent, received and errors by category. (A4)
+
+    outcomes(ok, code, name, status[, sent, received]); errors is a map with every category.
+    """
+    size = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) if c in outcomes.columns else F.lit(0).cast("bigint").alias(c)
+    kind = error_category(F.col("code"), F.col("name"), F.col("status"))
+    each = [x for c in CATEGORIES for x in (F.lit(c), F.count_if(~F.col("ok") & (kind == c)))]
+    out = outcomes.agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"), size("sent"), size("received"), F.create_map(*each).alias("errors"))
+    rate = F.when(F.col("total") > 0, F.floor(F.col("success") / F.col("total") * 1000 + 0.5) / 10).otherwise(0.0)
+    return out.withColumns({"success_rate": rate, "rps": F.floor(F.col("total") / F.lit(float(max(1, elapsed_sec))) * 100 + 0.5) / 100})
+
+
+def prometheus(report: DataFrame, prefix: str = "webloom", whole: DataFrame | None = None) -> DataFrame:
+    """(metrics): the report of observability(), and the row of totals() if given, in the text exposition format.
+
+    One text: a line for each domain and metric.
+    """
     label = lambda d: F.replace(F.replace(d, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     line = lambda m: F.concat(F.lit(f'{prefix}_{m}_total{{domain="'), label(F.col("domain")), F.lit('"} '), F.col(m).cast("string"))
     parts = []
     for m in ("requests", "success", "failed"):
-        whole = F.max(F.when(F.col("domain") == "*", F.concat(F.lit(f"{prefix}_{m}_total "), F.col(m).cast("string"))))
-        parts.append(F.concat_ws("\n", F.lit(f"# TYPE {prefix}_{m}_total counter"), whole, F.array_join(F.array_sort(F.collect_list(F.when(F.col("domain") != "*", line(m)))), "\n")))
-    return report.agg(F.concat_ws("\n", *parts).alias("metrics"))
+        all_ = F.max(F.when(F.col("domain") == "*", F.concat(F.lit(f"{prefix}_{m}_total "), F.col(m).cast("string"))))
+        parts.append(F.concat_ws("\n", F.lit(f"# TYPE {prefix}_{m}_total counter"), all_, F.array_join(F.array_sort(F.collect_list(F.when(F.col("domain") != "*", line(m)))), "\n")))
+    out = report.agg(F.concat_ws("\n", *parts).alias("metrics"))
+    if whole is None:
+        return out
+    more = []
+    for name, kind, c in (("success_rate_percent", "gauge", "success_rate"), ("requests_per_second", "gauge", "rps")):
+        more += [F.lit(f"# TYPE {prefix}_{name} {kind}"), F.concat(F.lit(f"{prefix}_{name} "), F.col(c).cast("string"))]
+    more.append(F.lit(f"# TYPE {prefix}_bytes_total counter"))
+    more += [F.concat(F.lit(f'{prefix}_bytes_total{{dir="{c}"}} '), F.col(c).cast("string")) for c in ("sent", "received")]
+    more.append(F.lit(f"# TYPE {prefix}_errors_total counter"))
+    more += [F.concat(F.lit(f'{prefix}_errors_total{{category="{c}"}} '), F.col("errors")[c].cast("string")) for c in CATEGORIES]
+    # one row each
+    return out.join(F.broadcast(whole.select(F.concat_ws("\n", *more).alias("_more")))).select(F.concat_ws("\n", "metrics", "_more").alias("metrics"))
+
+
+# --- counters by key, of recorded requests (A16) -------------------------------------------------------------
+
+
+def proxy_stats(requests: DataFrame, max_failures: int = 3) -> DataFrame:
+    """(proxy, failures, healthy, sessions) of requests(proxy, ok, session, at): failures since the last success."""
+    w = requests.groupBy("proxy").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("_last"), F.countDistinct("session").alias("sessions"))
+    bad = requests.join(w, "proxy").groupBy("proxy", "sessions").agg(F.count_if(~F.col("ok") & (F.col("_last").isNull() | (F.col("at") > F.col("_last")))).alias("failures"))
+    return bad.select("proxy", "failures", (F.col("failures") < max_failures).alias("healthy"), "sessions")
+
+
+def session_stats(requests: DataFrame) -> DataFrame:
+    """(id, use_count, created_at) of requests(session, at)."""
+    return requests.filter("session is not null").groupBy(F.col("session").alias("id")).agg(F.count("*").alias("use_count"), F.min("at").alias("created_at"))
+
+
+def throttle_stats(replayed: DataFrame, key: str = "key", order: str = "at") -> DataFrame:
+    """(key, slots, delay_ms, backoffs) of a throttle's replay: the last state of each host."""
+    return replayed.groupBy(key).agg(F.max_by("slots", order).alias("slots"), F.max_by("delay_ms", order).alias("delay_ms"), F.count_if(~F.col("ok")).alias("backoffs"))
+
+
+def dns_stats(lookups: DataFrame, now_ms: int, ttl_ms: int = 300_000) -> DataFrame:
+    """(hostname, addresses, age_ms) of lookups(hostname, addresses, at) that are not older than ttl_ms: the last of each."""
+    last = lookups.filter(F.col("at") <= now_ms).groupBy("hostname").agg(F.max("at").alias("at"), F.max_by("addresses", "at").alias("addresses"))
+    return last.select("hostname", "addresses", (F.lit(now_ms) - F.col("at")).alias("age_ms")).filter(F.col("age_ms") <= ttl_ms)

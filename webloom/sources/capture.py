@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from webloom.functions import headers as H
 from webloom.functions.udf import vectorized
+from webloom.session import checkpointed
 
 _PAIRS = "array<struct<name:string,value:string>>"
 HAR = (
@@ -22,7 +24,7 @@ FRAMES = "array<struct<direction:string,opcode:int,payload_data:string,size:bigi
 ENTRY = (
     "id string, source string, method string, url string, status int, status_text string, http_version string, resource_type string, mime_type string, request_headers map<string,string>, "
     "response_headers map<string,string>, request_body string, response_body string, request_size bigint, response_size bigint, started string, time double, initiator string, from_cache boolean, "
-    f"failed boolean, error_text string, redirect_url string, body_base64 boolean, frames {FRAMES}, ordinal bigint"
+    f"failed boolean, error_text string, redirect_url string, body_base64 boolean, frames {FRAMES}, frames_truncated boolean, ordinal bigint"
 )
 
 
@@ -65,6 +67,7 @@ def create_entries(raw: DataFrame) -> DataFrame:
         F.nullif(c("redirect_url"), F.lit("")).alias("redirect_url"),
         F.coalesce(c("body_base64"), F.lit(False)).alias("body_base64"),
         c("frames").alias("frames"),
+        F.coalesce(c("frames_truncated"), F.lit(False)).alias("frames_truncated"),
         c("ordinal").alias("ordinal"),
     )
 
@@ -81,6 +84,22 @@ def _split_fields(ddl: str) -> list[str]:
     return [*out, now]
 
 
+def from_pages(pages: DataFrame, url: str = "url", html: str = "html", status: Column | None = None, headers: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages as responses: (kept columns, url, final_url, status, headers, body, charset, charset_source, text, ok).
+
+    html is text, or bytes as they came. Without headers a page is text/html in UTF-8, or of the charset that
+    its bytes tell; without a status it is 200. A null page has a null body and text.
+    """
+    from webloom.functions import content as C
+
+    raw = isinstance(pages.schema[html].dataType, T.BinaryType)
+    body = F.col(html) if raw else F.col(html).cast("binary")
+    own = F.create_map(F.lit("content-type"), F.lit("text/html" if raw else "text/html; charset=utf-8"))
+    out = pages.select(*keep, F.col(url).alias("url"), F.col(url).alias("final_url"), F.coalesce(status if status is not None else F.lit(None).cast("int"), F.lit(200)).alias("status"), (headers if headers is not None else own).cast("map<string,string>").alias("headers"), body.alias("body"))
+    out = out.withColumn("_c", C.charset("body", F.col("headers")["content-type"]))
+    return out.select(*keep, "url", "final_url", "status", "headers", "body", F.col("_c.charset").alias("charset"), F.col("_c.source").alias("charset_source"), C.decode("body", F.col("_c.charset")).alias("text"), F.col("status").between(200, 299).alias("ok"))
+
+
 def parse_har(text: DataFrame, column: str = "har", source: str = "har", max_entries: int | None = None) -> DataFrame:
     """Entries of HAR documents, one document in each row.
 
@@ -146,7 +165,7 @@ def merge(*captures: DataFrame) -> DataFrame:
 
 def frames_of(entries: DataFrame, cap: int = 500) -> DataFrame:
     """(id, frame_no, direction, opcode, payload_data, size, timestamp, frames_truncated) of each entry's frames."""
-    return entries.select("id", (F.coalesce(F.size("frames"), F.lit(0)) > cap).alias("frames_truncated"), F.posexplode(F.slice("frames", 1, cap)).alias("frame_no", "f")).select("id", "frame_no", "f.*", "frames_truncated")
+    return entries.select("id", (F.col("frames_truncated") | (F.coalesce(F.size("frames"), F.lit(0)) > cap)).alias("frames_truncated"), F.posexplode(F.slice("frames", 1, cap)).alias("frame_no", "f")).select("id", "frame_no", "f.*", "frames_truncated")
 
 
 MAX_PAYLOAD = 16 * 1024 * 1024
@@ -199,35 +218,55 @@ def messages(frames: DataFrame, key: str, order: str) -> DataFrame:
     whole = data.filter("_start > 0 and coalesce(_fins, 0) = 0").groupBy(key, "_start").agg(
         F.min(order).alias("first"), F.max_by("opcode", F.col("opcode")).alias("opcode"), F.max("fin").alias("_fin"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("payload").alias("p")))).alias("_parts")
     )
-    payload = F.aggregate("_parts", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["p"]))
+    payload = F.unhex(F.array_join(F.transform("_parts", lambda x: F.hex(x["p"])), ""))  # each byte is written once
     out = whole.filter("_fin").select(key, "first", "opcode", payload.alias("payload"))
     text = F.when(F.col("opcode") == 1, F.try_validate_utf8(F.col("payload").cast("string")))
     return out.withColumn("kind", F.when(F.try_parse_json(text).isNotNull(), "message").otherwise("raw"))
 
 
-def fold_events(events: DataFrame, source: str = "cdp") -> DataFrame:
-    """Entries of DevTools events(request_id, seq, type, ts, url, method, status, mime_type, headers, body, error).
+def fold_events(events: DataFrame, source: str = "cdp", max_entries: int | None = None, max_frames: int = 500, capture: str | None = None) -> DataFrame:
+    """Entries of DevTools events(request_id, seq, type, ts, url, method, status, mime_type, headers, body, error[, opcode]).
 
-    Types: requestWillBeSent, responseReceived, loadingFinished, loadingFailed. A second requestWillBeSent of
-    an id is a redirect: it closes the entry before it, which keeps the id with its hop number.
+    Types: requestWillBeSent, responseReceived, loadingFinished, loadingFailed, webSocketCreated,
+    webSocketFrameSent, webSocketFrameReceived (the frame's payload is the body). A second requestWillBeSent of
+    an id is a redirect: it closes the entry before it, which keeps the id with its hop number. A socket's
+    first max_frames frames stay, and the entry tells if there were more. Of each `capture` (a column; else
+    of all events) the first max_entries entries stay.
     """
     w = Window.partitionBy("request_id").orderBy("seq")
-    sent = F.col("type") == "requestWillBeSent"
+    sent = F.col("type").isin("requestWillBeSent", "webSocketCreated")
     e = events.withColumn("_hop", F.sum(sent.cast("int")).over(w)).filter("_hop > 0")
-    of = lambda kind, c: F.max_by(F.when(F.col("type") == kind, F.col(c)), F.when((F.col("type") == kind) & F.col(c).isNotNull(), F.col("seq")))
-    g = e.groupBy("request_id", "_hop").agg(
+    is_frame = F.col("type").isin("webSocketFrameSent", "webSocketFrameReceived")
+    of = lambda kinds, c: F.max_by(F.when(F.col("type").isin(*kinds), F.col(c)), F.when(F.col("type").isin(*kinds) & F.col(c).isNotNull(), F.col("seq")))
+    keys = ["request_id", "_hop", *([capture] if capture else [])]
+    g = e.filter(~is_frame).groupBy(*keys).agg(
         F.min("seq").alias("ordinal"),
-        of("requestWillBeSent", "url").alias("url"),
-        of("requestWillBeSent", "method").alias("method"),
-        of("responseReceived", "status").alias("status"),
-        of("responseReceived", "mime_type").alias("mime_type"),
-        of("loadingFinished", "body").alias("response_body"),
-        of("loadingFailed", "error").alias("error_text"),
+        of(("requestWillBeSent", "webSocketCreated"), "url").alias("url"),
+        of(("requestWillBeSent",), "method").alias("method"),
+        of(("responseReceived",), "status").alias("status"),
+        of(("responseReceived",), "mime_type").alias("mime_type"),
+        of(("loadingFinished",), "body").alias("response_body"),
+        of(("loadingFailed",), "error").alias("error_text"),
         F.max(F.col("type") == "loadingFailed").alias("failed"),
+        F.max(F.col("type") == "webSocketCreated").alias("_socket"),
         (F.max("ts") - F.min("ts")).cast("double").alias("time"),
     )
+    opcode = F.coalesce(F.col("opcode"), F.lit(0)).cast("int") if "opcode" in events.columns else F.lit(0)
+    payload = F.coalesce("body", F.lit(""))
+    frame = F.struct("seq", F.struct(F.when(F.col("type") == "webSocketFrameSent", "sent").otherwise("received").alias("direction"), opcode.alias("opcode"), payload.alias("payload_data"), F.octet_length(payload).cast("bigint").alias("size"), F.col("ts").cast("double").alias("timestamp")).alias("f"))
+    # one frame more than stays, so a long-lived socket is never gathered whole
+    first = e.filter(is_frame).withColumn("_no", F.row_number().over(Window.partitionBy("request_id", "_hop").orderBy("seq"))).filter(F.col("_no") <= max_frames + 1)
+    framed = first.groupBy(F.col("request_id").alias("_r"), F.col("_hop").alias("_h")).agg(F.slice(F.transform(F.array_sort(F.collect_list(frame)), lambda x: x["f"]), 1, max_frames).alias("_frames"), (F.count("*") > max_frames).alias("frames_truncated"))
+    g = g.join(framed, (F.col("request_id") == F.col("_r")) & (F.col("_hop") == F.col("_h")), "left")
+    if max_entries is not None and capture:
+        g = g.withColumn("_no", F.row_number().over(Window.partitionBy(capture).orderBy("ordinal"))).filter(F.col("_no") <= max_entries)
+    elif max_entries is not None:
+        g = g.orderBy("ordinal").limit(max_entries)
     name = F.when(F.col("_hop") == 1, F.col("request_id")).otherwise(F.concat_ws("#", "request_id", F.col("_hop").cast("string")))
-    return create_entries(g.select(name.alias("id"), F.lit(source).alias("source"), "url", "method", "status", "mime_type", "response_body", "error_text", "failed", "time", "ordinal"))
+    frames = F.when(F.col("_socket"), F.coalesce("_frames", F.array().cast(FRAMES)))
+    return create_entries(
+        g.select(name.alias("id"), F.lit(source).alias("source"), "url", "method", "status", "mime_type", "response_body", "error_text", "failed", "time", "ordinal", frames.alias("frames"), "frames_truncated", F.when(F.col("_socket"), "websocket").alias("resource_type"))
+    )
 
 
 def pair_har(requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
@@ -251,7 +290,9 @@ def redirects(chain: DataFrame, start: DataFrame, max_hops: int = 5, max_cross:
         hop, crossed = F.col("hop") + 1, F.col("crossed") + F.when(U.host("url") != U.host("location"), 1).otherwise(0)
         method = F.when(F.col("status").isin(301, 302, 303) & ~F.col("method").isin("GET", "HEAD"), "GET").otherwise(F.col("method"))
         reason = F.when(hop > max_hops, "too many redirects").when(crossed > max_cross, "too many hosts")
-        now = step.select("id", F.col("location").alias("url"), method.alias("method"), hop.alias("hop"), crossed.alias("crossed"), (F.col("stripped") | cross).alias("stripped"), reason.alias("reason"))
+        now = checkpointed(step.select("id", F.col("location").alias("url"), method.alias("method"), hop.alias("hop"), crossed.alias("crossed"), (F.col("stripped") | cross).alias("stripped"), reason.alias("reason")))
+        if now.isEmpty():
+            break
         out = out.unionAll(now)
     return out
 

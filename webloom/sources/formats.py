@@ -13,6 +13,7 @@ from webloom.functions import url as U
 from webloom.functions.udf import vectorized
 from webloom.html import css
 from webloom.html.tree import Node, parse_xml
+from webloom.session import checkpointed
 
 
 def csv_rows(text: str) -> list[dict[str, str]]:
@@ -122,23 +123,26 @@ def sitemap(xml: Column | str) -> Column:
     return F.struct(c.rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), locs.alias("locs"))
 
 
-def expand_sitemaps(maps: DataFrame, roots: list[str], max_depth: int = 1, max_entries: int = 5000, pattern: str | None = None) -> DataFrame:
+def expand_sitemaps(maps: DataFrame, roots: list[str], max_depth: int = 1, max_entries: int | None = 5000, pattern: str | None = None) -> DataFrame:
     """(loc): locations of maps(url, xml) under the roots, each once, in the order of depth and place.
 
-    Index files are followed max_depth levels down; at most max_entries locations that match the pattern.
+    Index files are followed max_depth levels down; at most max_entries locations that match the pattern, None for all.
     """
     parsed = maps.select("url", sitemap("xml").alias("m")).select("url", "m.is_index", F.posexplode("m.locs").alias("pos", "loc"))
     now = maps.sparkSession.createDataFrame([(u, f"{k:09d}") for k, u in enumerate(dict.fromkeys(roots))], "url string, place string")
     out = None
     for depth in range(max_depth + 1):
-        found = parsed.join(now, "url").select("is_index", "loc", F.concat_ws(".", "place", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("place"))
+        found = checkpointed(parsed.join(now, "url").select("is_index", "loc", F.concat_ws(".", "place", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("place")))
         leaves = found.filter(~F.col("is_index")).select("loc", "place")
         out = leaves if out is None else out.unionAll(leaves)
         if depth < max_depth:
             now = found.filter("is_index").select(F.col("loc").alias("url"), "place")
+            if now.isEmpty():
+                break
     if pattern:
         out = out.filter(F.col("loc").rlike(pattern))
-    return out.groupBy("loc").agg(F.min("place").alias("place")).orderBy("place").limit(max_entries).select("loc")
+    out = out.groupBy("loc").agg(F.min("place").alias("place")).orderBy("place")
+    return (out if max_entries is None else out.limit(max_entries)).select("loc")
 
 
 def robots_rules(texts: DataFrame, host: str = "host", text: str = "robots") -> DataFrame:
@@ -227,30 +231,35 @@ def live_cookies(cookies: DataFrame, now_ms: Column, domains: list[str] | None =
     return out
 
 
-def rest_pages(pages: DataFrame, max_pages: int = 20) -> DataFrame:
+def rest_pages(pages: DataFrame, max_pages: int | None = 20) -> DataFrame:
     """(endpoint, page, pos, item) of stored pages(endpoint, page, total_pages, body): JSON arrays joined up.
 
-    An endpoint's first page tells how many there are; at most max_pages count.
+    An endpoint's first page tells how many there are; at most max_pages count, all of them where it is None.
     """
     total = pages.filter("page = 1").groupBy("endpoint").agg(F.max(F.coalesce("total_pages", F.lit(1))).alias("_total"))
-    use = pages.join(total, "endpoint").filter(F.col("page") <= F.least("_total", F.lit(max_pages)))
+    use = pages.join(total, "endpoint").filter(F.col("page") <= F.least("_total", F.lit(max_pages)))  # least() passes over null
     return use.select("endpoint", "page", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "item"))
 
 
-def graphql_nodes(pages: DataFrame, connection: str, max_pages: int = 20) -> DataFrame:
-    """(page_no, pos, node) along the cursors of stored pages(cursor, body); the first page's cursor is null."""
+def graphql_nodes(pages: DataFrame, connection: str, max_pages: int | None = 20, key: str | None = None) -> DataFrame:
+    """([key, ]page_no, pos, node) along the cursors of stored pages([key, ]cursor, body).
+
+    The first page's cursor is null. Cursors are followed within a `key`, the connection that they belong to;
+    without one all pages are of one connection. At most max_pages pages of each; None for all.
+    """
+    from webloom.operators.flow import chained
+
     path = "$.data." + connection
-    p = pages.select(F.coalesce("cursor", F.lit("")).alias("cursor"), F.col("body"), F.get_json_object("body", f"{path}.pageInfo.endCursor").alias("next"), F.get_json_object("body", f"{path}.pageInfo.hasNextPage").alias("more"))
-    now = p.filter("cursor = ''").withColumn("page_no", F.lit(1))
-    out = now
-    for n in range(2, max_pages + 1):
-        ahead = now.filter("more = 'true'").select(F.col("next").alias("_c"))
-        now = p.join(ahead, p["cursor"] == ahead["_c"]).drop("_c").withColumn("page_no", F.lit(n))
-        out = out.unionAll(now)
-        if n % 5 == 0 and now.isEmpty():
-            break
+    of = F.col(key).cast("string") if key else F.lit("")
+    node = lambda cursor: F.to_json(F.array(of, cursor))
+    info = lambda name: F.get_json_object("body", f"{path}.pageInfo.{name}")
+    # bodies stay behind while cursors are followed
+    links = pages.select(node(F.coalesce("cursor", F.lit(""))).alias("node"), F.when(info("hasNextPage") == "true", node(info("endCursor"))).alias("next"))
+    starts = pages.filter("coalesce(cursor, '') = ''").select(node(F.lit("")).alias("start"), node(F.lit("")).alias("node"))
+    found = chained(links, starts, max_pages).select("node", (F.col("step") + 1).cast("int").alias("page_no"))
+    met = pages.withColumn("_node", node(F.coalesce("cursor", F.lit("")))).join(found, F.col("_node") == F.col("node"))
     edges = F.from_json(F.get_json_object("body", f"{path}.edges"), "array<string>")
-    return out.select("page_no", F.posexplode(F.transform(edges, lambda e: F.get_json_object(e, "$.node"))).alias("pos", "node"))
+    return met.select(*([key] if key else []), "page_no", F.posexplode(F.transform(edges, lambda e: F.get_json_object(e, "$.node"))).alias("pos", "node"))
 
 
 def graphql_catalog(texts: DataFrame, text: str = "json") -> DataFrame:
