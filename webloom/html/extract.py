@@ -154,3 +154,16 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def stamp(df: DataFrame, at: Column | None = None, name: str = "scraped_at") -> DataFrame:
     """A time stamp as ISO text."""
     return df.withColumn(name, F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+def logged(df: DataFrame, path: str) -> DataFrame:
+    """Append the rows as lines of JSON to the files at a path, and give the rows back."""
+    from webloom.sinks.core import write_files
+
+    write_files(df, path)
+    return df
+
+
+def rendered(urls: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+    """urls with the html that a renderer left in pages(url, html); null where there is none."""
+    return urls.join(pages.groupBy(url).agg(F.max("html").alias("html")), url, "left")

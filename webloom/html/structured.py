@@ -136,59 +136,59 @@ def body_text(root: Node, most: int | None = None, with_scripts: bool = False) -
 #: What auto-extraction looks for.
 ITEM_TAGS = ("div", "li", "article", "section", "tr")
 IGNORED_CLASS = re.compile(r"^(js-|is-|has-|no-)")
-PRICE = re.compile(r"(?:[$£€¥]|Rp\.?|USD|EUR|IDR)\s?\d[\d.,]*", re.I)
-LIMIT_CONTAINERS, LIMIT_ITEMS, MAX_TEXT = 3, 50, 2000
+DATA_SELECTOR = "[data-id],[data-title],[data-name],[data-price],[data-href]"
+LIMIT_CONTAINERS, LIMIT_ITEMS, ITEM_TEXT, MAX_TEXT = 3, 50, 200, 2000
 
 
-def _summary(n: Node, base: str | None) -> dict[str, str]:
+def _summary(n: Node) -> dict[str, str]:
+    """What an item has of title, url, image and price; its text where it has none of them."""
     first = lambda s: next(iter(css.select(n, s)), None)
-    out = {}
-    title = first("h1,h2,h3,h4,[class*=title i],[class*=name i]")
-    link, image = first("a[href]"), first("img[src]")
-    price = first("[class*=price i]")
-    if title is not None:
-        out["title"] = _SPACE.sub(" ", title.text()).strip()
-    elif link is not None:
-        out["title"] = _SPACE.sub(" ", link.text()).strip()
+    out: dict[str, str] = {}
+    heading, link = first("h1,h2,h3,h4,[class*=title i],[class*=name i]"), first("a[href]")
+    image, price = first("img[src],img[data-src]"), first("[class*=price i]")
+    if heading is not None:
+        out["title"] = heading.text().strip()
     if link is not None:
-        out["url"] = absolute(base, link.attrs["href"]) or link.attrs["href"]
+        out["url"] = link.attrs["href"]
+        if not out.get("title"):
+            out["title"] = link.text().strip()
     if image is not None:
-        out["image"] = absolute(base, image.attrs["src"]) or image.attrs["src"]
-    text = _SPACE.sub(" ", n.text(_HIDDEN)).strip()
+        out["image"] = image.attrs.get("src", image.attrs.get("data-src", ""))
     if price is not None:
-        out["price"] = _SPACE.sub(" ", price.text()).strip()
-    elif m := PRICE.search(text):
-        out["price"] = m[0]
-    if text:
-        out["text"] = text[:300]
-    return {k: v for k, v in out.items() if v}
+        out["price"] = price.text().strip()
+    return out or {"text": n.text(_HIDDEN).strip()[:ITEM_TEXT]}
+
 
+def repeating(root: Node) -> tuple[str, list[dict[str, str]]] | None:
+    """(class, items) of the most frequent class of containers that fills enough of them.
 
-def repeating_items(root: Node, base: str | None = None) -> list[dict[str, str]]:
-    """Items of the most frequent class that fills enough of them."""
+    Every element of the class is an item, the first LIMIT_ITEMS of them; addresses stay as they are written.
+    """
     counts: Counter[str] = Counter()
     of: dict[str, list[Node]] = {}
     for n in root.walk():
+        mine = dict.fromkeys(n.classes())
+        for c in mine:
+            of.setdefault(c, []).append(n)
         if n.tag in ITEM_TAGS:
-            for c in dict.fromkeys(n.classes()):
-                if len(c) > 2 and not IGNORED_CLASS.match(c):
-                    counts[c] += 1
-                    of.setdefault(c, []).append(n)
+            counts.update(c for c in n.classes() if len(c) > 2 and not IGNORED_CLASS.match(c))
     for c, k in counts.most_common(LIMIT_CONTAINERS):
-        items = [_summary(n, base) for n in of[c][:LIMIT_ITEMS]]
-        filled = [x for x in items if x.get("title") and (x.get("url") or x.get("price") or x.get("image"))]
-        if k >= 3 and len(filled) >= min(3, math.ceil(len(items) / 2)):
-            return filled
-    return []
+        if k < 3 or len(of[c]) < 3:
+            continue
+        items = [x for x in map(_summary, of[c][:LIMIT_ITEMS]) if any(x.values())]
+        if sum(bool(x.get("title") or x.get("text")) for x in items) >= min(3, math.ceil(len(items) / 2)):
+            return c, items
+    return None
+
+
+def repeating_items(root: Node) -> list[dict[str, str]]:
+    found = repeating(root)
+    return found[1] if found else []
 
 
 def _score(item: dict) -> int:
-    """Scalars count one, arrays and objects two, a type three more."""
-    s = 3 if item.get("@type") else 0
-    for k, v in item.items():
-        if k != "@type" and v not in (None, "", [], {}):
-            s += 2 if isinstance(v, list | dict) else 1
-    return s
+    """Scalars that aren't blank count one, arrays and objects that aren't empty two."""
+    return sum((2 if v else 0) if isinstance(v, list | dict) else int(str(v).strip() != "") for v in item.values() if v is not None)
 
 
 def _entities(blocks: list[Any]) -> list[dict]:
@@ -200,35 +200,37 @@ def _entities(blocks: list[Any]) -> list[dict]:
     return out
 
 
-def auto(root: Node, base: str | None = None, max_text: int = MAX_TEXT) -> dict:
-    """Title, description, best entity, items, tables, text, and where they came from."""
+def auto(root: Node, max_text: int = MAX_TEXT) -> dict:
+    """Title, description, best entity, items, table rows, text, and where they came from."""
     first = lambda s: next(iter(css.select(root, s)), None)
-    meta = lambda s: (n.attrs.get("content") if (n := first(s)) is not None else None)
-    title, h1 = first("title"), first("h1")
+    meta = lambda s: (n.attrs["content"].strip() if (n := first(s)) is not None and "content" in n.attrs else None)
+    title = first("title")
     linked, micro = _entities(json_ld(root)), microdata(root)
     item, sources = None, []
     if linked:
-        item = dict(max(linked, key=_score))
+        item = dict(max(linked, key=lambda x: _score(x) + (3 if x.get("@type") else 0)))
         item.pop("@context", None)
         sources.append("json-ld")
     elif micro:
         item = max(micro, key=_score)
         sources.append("microdata")
-    found, items = tables(root), repeating_items(root, base)
-    if found:
+    rows = [row for t in tables(root) for row in t]
+    if rows:
         sources.append("tables")
-    if items:
-        sources.append("repeating")
-    elif attrs := data_attributes(root):
-        items = attrs[:LIMIT_ITEMS]
+    found, items = repeating(root), []
+    if found:
+        items = found[1]
+        sources.append("repeating:." + re.sub(r"([^\w-])", r"\\\1", found[0]))
+    if not items and (attrs := data_attributes(root, DATA_SELECTOR)):
+        items = attrs
         sources.append("data-attributes")
     description = meta('meta[name="description"]')
     return {
-        "title": (_SPACE.sub(" ", title.text()).strip() if title is not None else "") or (_SPACE.sub(" ", h1.text()).strip() if h1 is not None else "") or meta('meta[property="og:title"]') or None,
+        "title": (_SPACE.sub(" ", title.text()).strip() if title is not None else "") or meta('meta[property="og:title"]') or None,
         "description": description if description is not None else meta('meta[property="og:description"]'),
         "item": item,
         "items": items,
-        "tables": found,
+        "tables": rows,
         "sources": sources,
         "text": body_text(root, max_text),
     }
@@ -434,7 +436,7 @@ json_ld_of = page_udf("array<string>", lambda r, u: [dumps(x) for x in json_ld(r
 microdata_of = page_udf("array<string>", lambda r, u: [dumps(x) for x in microdata(r)])
 data_attributes_of = page_udf("array<map<string,string>>", lambda r, u: data_attributes(r))
 tables_of = page_udf("array<array<map<string,string>>>", lambda r, u: tables(r))
-auto_of = page_udf("string", lambda r, u: dumps(auto(r, u)))
+auto_of = page_udf("string", lambda r, u: dumps(auto(r)))
 infer_of = page_udf("string", lambda r, u: dumps(infer_schema(r)))
 text_of = page_udf("string", lambda r, u: body_text(r))
 form_of = page_udf("string", lambda r, u: None if (f := form(r, base=u)) is None else dumps(f))
