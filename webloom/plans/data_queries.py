@@ -40,10 +40,15 @@ def url_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("event_id", U.template("url").alias("template"), U.query_params("url").alias("params"), U.host("url").alias("host"))
 
 
-@query(f"select event_id, 'fetch' as resource_type, case when status = 500 then 'server-error' else 'success' end as kind, true as api from {LOG}")
+@query(
+    f"""select event_id, case event_type when 'view' then 'document' when 'click' then 'fetch' when 'error' then 'image' when 'signup' then 'stylesheet' else 'script' end as resource_type, case when user_id % 7 = 0 then 'failed' when status = 500 then 'server-error' else 'success' end as kind, event_type = 'click' as api from {LOG}"""
+)
 def resource_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = log(spark, sf_dir).withColumn("mime", F.lit("application/json")).withColumn("r", H.resource_type(F.lit(None).cast("string"), F.col("mime"), F.col("url")))
-    return e.select("event_id", F.col("r").alias("resource_type"), H.entry_kind(F.col("status"), F.lit(False)).alias("kind"), H.is_api(F.col("r"), F.col("mime"), F.col("method")).alias("api"))
+    t = F.col("event_type")
+    mime = F.when(t == "view", "text/html").when(t == "click", "application/json").when(t == "error", "image/png").when(t == "signup", "text/css; charset=utf-8").otherwise("application/octet-stream")
+    url = F.concat(F.lit("http://x.example/"), t, F.when(t == "purchase", ".js").otherwise(""))
+    e = log(spark, sf_dir).withColumn("mime", mime).withColumn("r", H.resource_type(F.lit(None).cast("string"), F.col("mime"), url))
+    return e.select("event_id", F.col("r").alias("resource_type"), H.entry_kind(F.col("status"), F.col("user_id") % 7 == 0).alias("kind"), H.is_api(F.col("r"), F.col("mime"), F.col("method")).alias("api"))
 
 
 @query("select event_id, '<redacted>' as auth, event_type as x_type, 2 as n_safe from events")
@@ -134,18 +139,34 @@ def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.health_report(_runs(spark, sf_dir)).drop("field")
 
 
-@query(
-    """with s as (select user_id, event_id, value, event_type, lag(value) over w as pv, lag(event_type) over w as pt, lag(event_id) over w as pe from events window w as (partition by user_id order by event_id))
-select user_id, event_id, list_sort(list_filter([case when pe is not null and pt = 'error' and event_type <> 'error' then 'keys_removed:critical:err' end, case when pe is not null and pt <> 'error' and event_type = 'error' then 'keys_added:info:err' end,
- case when pe is not null and (pt = 'view') <> (event_type = 'view') then 'type_changed:critical:v' end, case when pe is not null and pt <> 'view' and event_type <> 'view' and pv <> value then 'value_changed:info:v' end,
- case when pe is not null and pt <> event_type then 'value_changed:info:t' end], lambda x: x is not null)) as changes from s"""
-)
+def snapshots(e: DataFrame) -> DataFrame:
+    """Each event's row as its user's snapshot: objects with empty fields, another key, arrays of other lengths and items."""
+    t, n = F.col("event_type"), (F.col("event_id") % 4 + 1).cast("int")
+    many = lambda item: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit(item), n), ","), F.lit("]"))
+    data = (
+        F.when(t == "click", F.concat(F.lit('{"t":"click","v":'), (F.col("event_id") % 7).cast("string"), F.lit("}")))
+        .when(t == "view", '{"v":"","t":"view"}')
+        .when(t == "error", """{"t":"error","v":null,"it's":true}""")
+        .when(t == "signup", many('{"a":1}'))
+        .otherwise(many('{"b":2,"a":1}'))
+    )
+    return e.select("user_id", "event_id", data.alias("data"))
+
+
+_CHANGES = """(with s as (select user_id, event_id, event_type as ct, event_id % 7 as cv, event_id % 4 + 1 as cn, lag(event_type) over w as pt, lag(event_id % 7) over w as pv, lag(event_id % 4 + 1) over w as pn from events window w as (partition by user_id order by event_id)),
+k as (select *, ct in ('signup', 'purchase') as ca, pt in ('signup', 'purchase') as pa from s)
+select user_id, event_id, pt is null as first_run, list_filter(case when pt is null then [] when ca <> pa then ['type_changed:critical:' || case when pa then 'array' else 'object' end || '>' || case when ca then 'array' else 'object' end]
+ when ca then [case when cn <> pn then 'count_changed:' || case when abs(cn - pn) >= pn * 0.5 then 'warn' else 'info' end || ':' || pn || '>' || cn end, case when ct <> pt then 'item_schema_changed:critical:' || case when pt = 'signup' then '["a"]>["a","b"]' else '["a","b"]>["a"]' end end]
+ else [case when ct = 'error' and pt <> 'error' then 'keys_added:info:it''s' end, case when pt = 'error' and ct <> 'error' then 'keys_removed:critical:it''s' end,
+  case when ct in ('view', 'error') and pt = 'click' then 'fields_became_null:warn:v' end, case when pt in ('view', 'error') and ct = 'click' then 'fields_recovered:info:v' end,
+  case when ct <> pt then 'value_changed:info:t' end, case when ct <> pt or (ct = 'click' and cv <> pv) then 'value_changed:info:v' end] end, lambda x: x is not null) as changes from k)"""
+
+
+@query(f"select user_id, event_id, first_run, changes, len(list_filter(changes, lambda x: x like '%:critical:%')) > 0 as has_critical, case when not first_run then len(list_filter(changes, lambda x: x like '%:critical:%' or x like '%:warn:%')) > 0 end as has_warn from {_CHANGES}")
 def diff_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.when(F.col("event_type") == "view", '"seen"').otherwise(F.col("value").cast("string"))
-    data = F.concat(F.lit('{"t":"'), "event_type", F.lit('","v":'), value, F.when(F.col("event_type") == "error", ',"err":true').otherwise(""), F.lit("}"))
-    h = read(spark, sf_dir, "events").select("user_id", "event_id", data.alias("data"))
-    d = Q.snapshot_diffs(h, "user_id", "event_id", values=True)
-    return d.select("user_id", "event_id", F.array_sort(F.transform("changes", lambda c: F.concat_ws(":", c["type"], c["severity"], c["field"]))).alias("changes"))
+    d = Q.snapshot_diffs(snapshots(read(spark, sf_dir, "events")), "user_id", "event_id", values=True)
+    what = lambda c: F.concat_ws(":", c["type"], c["severity"], F.coalesce(c["field"], F.concat_ws(">", c["from"], c["to"])))
+    return d.select("user_id", "event_id", "first_run", F.transform("changes", what).alias("changes"), "has_critical", "has_warn")
 
 
 @query(
@@ -203,28 +224,54 @@ def json_schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JS.merged_schemas(read(spark, sf_dir, "events"), ["event_type"], "props", "event_id")
 
 
-@query(None)
+@query(f"""select distinct method || ' ' || regexp_replace(regexp_replace(url, '[?].*$', ''), '/users/[0-9]+/', '/users/:id/') as endpoint, '{{"type":"object","properties":{{"k":{{"type":"integer"}}}},"required":["k"]}}' as schema from {LOG}""")
 def endpoint_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.schemas(entries(spark, sf_dir))
 
 
-@query(None)
+_BITS = ", ".join(f"sum(((h >> {k}) & 1)::int) as b{k}" for k in range(64))
+_WHOLE = " + ".join(f"case when 2 * b{k} > n then {1 << k}::hugeint else 0 end" for k in range(64))
+#: (doc_id, source, fingerprint) of documents, FNV-1a by a reduction over code points.
+PRINTS = rf"""(with w as (select doc_id, source, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\x{{C0}}-\x{{FFFF}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, unnest(case when len(w) <= 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w where len(w) > 0),
+d as (select g, list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(g, ''), lambda c: unicode(c)::uhugeint)), lambda h, u: (xor(h, u) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint as h from (select distinct g from g)),
+v as (select doc_id, count(*) as n, {_BITS} from g join d using (g) group by 1), f as (select doc_id, {_WHOLE} as f from v)
+select doc_id, source, (case when f >= 9223372036854775808 then f - 18446744073709551616 else coalesce(f, 0) end)::bigint as fingerprint from documents left join f using (doc_id))"""
+
+
+@query(f"select doc_id, fingerprint from {PRINTS}")
 def simhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fingerprints(read(spark, sf_dir, "documents"))
 
 
-@query(None)
+@query(
+    f"""with recursive p as materialized (select *, row_number() over (order by doc_id) as n from {PRINTS}),
+r as (select n, doc_id, fingerprint, false as is_duplicate, [fingerprint] as held from p where n = 1
+ union all select n, doc_id, fingerprint, dup, case when dup then held else list_append(held, fingerprint) end from (select p.n, p.doc_id, p.fingerprint, r.held, len(list_filter(r.held, lambda x: bit_count(xor(x, p.fingerprint)) <= 3)) > 0 as dup from r join p on p.n = r.n + 1))
+select doc_id, fingerprint, is_duplicate from r"""
+)
 def near_dup_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.leaders(D.fingerprints(read(spark, sf_dir, "documents")))
 
 
-@query(None)
+@query(
+    f"""with p as materialized (select * from {PRINTS}), f as (select fingerprint, min(doc_id) as node from p group by 1)
+select x.node as a, y.node as b, bit_count(xor(x.fingerprint, y.fingerprint))::int as distance from f x join f y on x.node < y.node and bit_count(xor(x.fingerprint, y.fingerprint)) <= 3
+union all select f.node, p.doc_id, 0 from p join f using (fingerprint) where p.doc_id > f.node"""
+)
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the first holders of near fingerprints, and each other holder with its first at distance 0."""
     prints = checkpointed(D.fingerprints(read(spark, sf_dir, "documents")))
     return D.near_pairs(prints).unionByName(D.copies(prints))
 
 
+@query(f"with p as materialized (select * from {PRINTS}) select q.doc_id, min(bit_count(xor(q.fingerprint, s.fingerprint)))::int as distance from p q join p s on q.doc_id <> s.doc_id and q.doc_id % 20 = 0 and bit_count(xor(q.fingerprint, s.fingerprint)) <= 6 group by 1")
+def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every twentieth document the distance to the nearest other of all documents."""
+    p = checkpointed(D.fingerprints(read(spark, sf_dir, "documents")))
+    return D.nearest(p.filter("doc_id % 20 = 0"), p, 6, others=True).withColumn("distance", F.col("distance").cast("int"))
+
+
 @query("select sha256(text) as digest, count(*) as n, min(doc_id) as first from documents group by text having count(*) > 1")
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exact_groups(read(spark, sf_dir, "documents"))
@@ -317,18 +364,14 @@ def due_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with a as (select event_id, event_id % 6 + 1 as n, case event_type when 'error' then 500 when 'view' then 429 when 'click' then 404 else 403 end as s from events)
-select event_id, (case s when 500 then least(1500 * pow(1.5, n - 1), 15000) when 429 then least(5000 * pow(2.0, n - 1), 120000) when 403 then least(8000 * pow(2.0, n - 1), 60000) else least(1000 * pow(1.5, n - 1), 15000) end + 0.5)::double as raw, n <= 3 and s <> 404 as again from a"""
+    """with a as (select event_id, event_id % 6 + 1 as n, user_id % 5 = 0 as told, case event_type when 'error' then 500 when 'view' then 429 when 'click' then 404 when 'signup' then 403 else 503 end as s from events)
+select event_id, case when told then least(n * 100000, 300000) else round(case s when 500 then least(1500 * pow(1.5, n - 1), 15000) when 429 then least(5000 * pow(2.0, n - 1), 120000) when 403 then least(8000 * pow(2.0, n - 1), 60000) when 503 then least(3000 * pow(1.5, n - 1), 30000) else least(1000 * pow(1.5, n - 1), 15000) end)::bigint end as delay_ms, n <= 3 and s <> 404 as again from a"""
 )
 def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = F.col("event_type"), F.col("event_id") % 6 + 1
-    s = F.when(t == "error", 500).when(t == "view", 429).when(t == "click", 404).otherwise(403)
-    e = read(spark, sf_dir, "events")
-    base = lambda b, m, c: F.least(F.lit(float(b)) * F.pow(F.lit(m), n - 1), F.lit(float(c)))
-    exact = F.when(s == 500, base(1500, 1.5, 15000)).when(s == 429, base(5000, 2.0, 120000)).when(s == 403, base(8000, 2.0, 60000)).otherwise(base(1000, 1.5, 15000))
-    # the rounded delay is half a millisecond from the exact one at most
-    ok = F.abs(S.retry_delay(s, n) - exact) <= 0.5
-    return e.select("event_id", F.when(ok, exact + 0.5).alias("raw"), S.should_retry(s, F.lit(None).cast("string"), n.cast("int")).alias("again"))
+    s = F.when(t == "error", 500).when(t == "view", 429).when(t == "click", 404).when(t == "signup", 403).otherwise(503)
+    after = F.when(F.col("user_id") % 5 == 0, n * 100_000)
+    return read(spark, sf_dir, "events").select("event_id", S.retry_delay(s, n, retry_after_ms=after).alias("delay_ms"), S.should_retry(s, F.lit(None).cast("string"), n.cast("int")).alias("again"))
 
 
 @query(
@@ -341,41 +384,90 @@ def ip_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select("n_nationkey", U.classify_ip(ip).alias("label"), U.domain_allowed(name, ("*.example.com",), ("ads.*",)).alias("allowed"))
 
 
-@query(
-    """with recursive e as (select distinct o_custkey as src, o_orderkey % 1500 as dst from orders where o_custkey <> o_orderkey % 1500), r as (select 1 as n, min(src) as url from e union select n + 1, e.dst from r join e on e.src = r.url where n < 5),
-m as (select url, min(n) as n from r group by 1) select url, (n - 1)::int as depth from m"""
-)
+#: (url, depth, ordinal) of a crawl along orders from the least customer: depths first, then places within them.
+CRAWL = """(with recursive e as materialized (select o_custkey as src, o_orderkey % 1500 as dst, o_orderkey as pos from orders where o_custkey <> o_orderkey % 1500),
+r as (select 0 as depth, min(src) as url from e union select r.depth + 1, e.dst from r join e on e.src = r.url where r.depth < 100), d as materialized (select url, min(depth) as depth from r group by 1), c as materialized (select depth, count(*) as n from d group by 1),
+o as (select 0 as depth, min(src) as url, 0::bigint as ordinal from e
+ union all select depth, url, (row_number() over (order by spot) - 1 + (select sum(n) from c where c.depth < x.depth))::bigint from (select d.depth, d.url, min({'o': o.ordinal, 'p': e.pos}) as spot from o join e on e.src = o.url join d on d.url = e.dst and d.depth = o.depth + 1 group by all) x)
+select url, depth::int as depth, ordinal from o)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"), F.col("o_orderkey").alias("pos")).filter("src <> dst")
+    return edges, edges.agg(F.min("src").alias("url")).withColumn("pos", F.lit(0))
+
+
+@query(f"select * from {CRAWL}")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    edges = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500).alias("dst"), F.col("o_orderkey").alias("pos")).filter("src <> dst")
-    seeds = edges.agg(F.min("src").alias("url")).withColumn("pos", F.lit(0))
-    return W.crawl(edges, seeds, max_depth=4).select("url", "depth")
+    """Until no link leads to a new URL, with each URL's place in the whole order."""
+    return W.crawl(*_links(spark, sf_dir)).select("url", "depth", "ordinal")
+
+
+@query(f"with c as materialized (select * from {CRAWL} where ordinal < 40), e as (select o_custkey as src, o_orderkey % 1500 as dst from orders where o_custkey <> o_orderkey % 1500) select (select count(*) from c) as visited, (select count(*) from c) as results, (select count(distinct dst) from e where src in (select url from c) and dst not in (select url from c)) as queued")
+def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of forty URLs, maxUrls being the feature: what it saw, and what it would have gone to."""
+    edges, seeds = _links(spark, sf_dir)
+    return W.crawl_stats(W.crawl(edges, seeds, max_urls=40), edges)
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
 
 
-@query(None)
+_ROWS = f"(select *, event_type <> 'error' as ok, row_number() over (partition by key order by t_ms, event_id) as n from {_TIMED})"
+#: A key's events through a state, one after the other: columns of the state before are s_*.
+_BREAKER = f"""with recursive e as materialized (select * from {_ROWS}), r as (select key, 0::bigint as n, null::bigint as event_id, 'closed' as state, false as passed, 'closed' as next_state, 0 as failures, 0::bigint as opened, 0 as probes from e where n = 1
+ union all select key, n, event_id, state, passed, case when not passed then state when ok then 'closed' when state = 'half_open' or failures + 1 >= 2 then 'open' else state end, case when passed and ok then 0 when passed then failures + 1 else failures end,
+  case when passed and not ok and (state = 'half_open' or failures + 1 >= 2) then t_ms else opened end, case when passed and not ok and state = 'half_open' then probes + 1 else probes end
+  from (select *, state = 'closed' or (state = 'half_open' and probes < 1) as passed from (select e.key, e.n, e.event_id, e.t_ms, e.ok, r.failures, r.opened, case when r.next_state = 'open' and e.t_ms - r.opened >= {DAY} then 'half_open' else r.next_state end as state, case when r.next_state = 'open' and e.t_ms - r.opened >= {DAY} then 0 else r.probes end as probes from r join e on e.key = r.key and e.n = r.n + 1)))
+select event_id, state, passed, next_state from r where n > 0"""
+
+
+@query(_BREAKER)
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.fold(_outcomes(spark, sf_dir), "key", ["at", "event_id"], W.breaker_step(2, DAY), W.BREAKER)
+    return W.fold(_outcomes(spark, sf_dir), "key", ["at", "event_id"], W.breaker_step(2, DAY), W.BREAKER).select("event_id", "state", "passed", "next_state")
 
 
-@query(None)
+@query(
+    f"""with recursive e as materialized (select * from {_ROWS}), r as (select key, 0::bigint as n, null::bigint as event_id, 4 as slots, 0::bigint as delay_ms, 0 as good from e where n = 1
+ union all select e.key, e.n, e.event_id, case when not e.ok then greatest(1, r.slots // 2) when r.good + 1 >= 10 and r.slots < 16 then r.slots + 1 else r.slots end, case when e.ok then r.delay_ms // 2 when e.event_id % 2 = 0 then 900 else least(60000, greatest(250, r.delay_ms * 2)) end,
+  case when not e.ok or (r.good + 1 >= 10 and r.slots < 16) then 0 else r.good + 1 end from r join e on e.key = r.key and e.n = r.n + 1)
+select event_id, slots, delay_ms from r where n > 0"""
+)
 def throttle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.fold(_outcomes(spark, sf_dir), "key", ["at", "event_id"], W.throttle_step(), W.THROTTLE)
+    told = _outcomes(spark, sf_dir).withColumn("retry_after_ms", F.when(F.col("event_id") % 2 == 0, 900).cast("bigint"))
+    return W.fold(told, "key", ["at", "event_id"], W.throttle_step(), W.THROTTLE).select("event_id", "slots", "delay_ms")
 
 
-@query(None)
+@query(
+    f"""with recursive e as materialized (select key, n, event_id, t_ms as now, case when event_type in ('signup', 'view') then 'enqueue' when event_type = 'click' then 'dequeue' when event_type = 'error' then 'fail' else 'complete' end as op, (event_id % 5)::varchar as item, event_id % 3 as priority from {_ROWS}),
+r as (select key, 0::bigint as n, null::bigint as event_id, null::varchar as got, []::struct(p bigint, a bigint, s bigint, v varchar)[] as waiting, []::struct(v varchar, a bigint, p bigint)[] as leased, []::varchar[] as done, []::varchar[] as dead, []::varchar[] as failed, 0::bigint as seq from e where n = 1
+ union all select key, n, event_id, got,
+  case op when 'enqueue' then case when fresh then list_append(waiting, {{'p': priority, 'a': now, 's': seq, 'v': item}}) else waiting end when 'fail' then case when fresh and not ends then list_append(waiting, {{'p': 0, 'a': now, 's': seq, 'v': item}}) else waiting end when 'dequeue' then list_filter(waiting, lambda x: first is not null and x > first) else waiting end,
+  case op when 'dequeue' then case when first is null then leased else list_append(leased, {{'v': first.v, 'a': now, 'p': first.p}}) end when 'enqueue' then leased else list_filter(leased, lambda x: x.v <> item) end,
+  case when op = 'complete' or ends then list_distinct(list_append(done, item)) else done end, case when ends then list_distinct(list_append(dead, item)) else dead end,
+  case op when 'complete' then list_filter(failed, lambda x: x <> item) when 'fail' then list_append(failed, item) else failed end, seq + 10
+  from (select *, case when op = 'dequeue' then first.v end as got from (select *, case when op = 'dequeue' then list_sort(list_filter(waiting, lambda x: not list_contains(list_transform(leased, lambda y: y.v), x.v) and not list_contains(done, x.v)))[1] end as first,
+   not list_contains(list_transform(waiting, lambda x: x.v), item) and not list_contains(done, item) as fresh, op = 'fail' and len(list_filter(failed, lambda x: x = item)) + 1 >= 3 as ends
+   from (select * exclude (waiting, leased), case when op = 'dequeue' then list_concat(waiting, list_transform(list_filter(leased, lambda x: now - x.a >= {DAY} and not list_contains(done, x.v) and not list_contains(list_transform(waiting, lambda y: y.v), x.v)), lambda x, i: {{'p': x.p, 'a': now, 's': seq + i, 'v': x.v}})) else waiting end as waiting,
+     case when op = 'dequeue' then list_filter(leased, lambda x: now - x.a < {DAY}) else leased end as leased
+     from (select e.*, r.waiting, r.leased, r.done, r.dead, r.failed, r.seq from r join e on e.key = r.key and e.n = r.n + 1)))))
+select event_id, got as leased_item, len(waiting)::int as n_waiting, len(leased)::int as n_leased, len(done)::int as n_done, len(dead)::int as n_dead from r where n > 0"""
+)
 def queue_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _timed(spark, sf_dir)
     op = F.when(F.col("event_type").isin("signup", "view"), "enqueue").when(F.col("event_type") == "click", "dequeue").when(F.col("event_type") == "error", "fail").otherwise("complete")
-    return W.fold(e.select("key", "event_id", "at", op.alias("op"), (F.col("event_id") % 5).cast("string").alias("item"), (F.col("event_id") % 3).alias("priority")), "key", ["at", "event_id"], W.queue_step(DAY), W.QUEUE)
+    rows = e.select("key", "event_id", "at", op.alias("op"), (F.col("event_id") % 5).cast("string").alias("item"), (F.col("event_id") % 3).alias("priority"))
+    return W.fold(rows, "key", ["at", "event_id"], W.queue_step(DAY), W.QUEUE).select("event_id", "leased_item", "n_waiting", "n_leased", "n_done", "n_dead")
 
 
-@query(None)
+@query(
+    f"""with recursive e as materialized (select * from {_ROWS}), r as (select key, 0::bigint as n, null::bigint as event_id, false as hit, null::varchar as evicted, []::varchar[] as held from e where n = 1
+ union all select key, n, event_id, hit, case when len(now) > 3 then now[1] end, case when len(now) > 3 then now[2:] else now end from (select e.key, e.n, e.event_id, list_contains(r.held, e.event_type) as hit, list_append(list_filter(r.held, lambda x: x <> e.event_type), e.event_type) as now from r join e on e.key = r.key and e.n = r.n + 1))
+select event_id, hit, evicted from r where n > 0"""
+)
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.fold(_timed(spark, sf_dir).select("key", "event_id", "at", F.col("event_type").alias("item")), "key", ["at", "event_id"], W.lru_step(3), W.LRU)
+    return W.fold(_timed(spark, sf_dir).select("key", "event_id", "at", F.col("event_type").alias("item")), "key", ["at", "event_id"], W.lru_step(3), W.LRU).select("event_id", "hit", "evicted")
 
 
 @query("select event_type, count(*) as requests, sum((value >= 20)::int)::bigint as success from events group by 1")
@@ -397,10 +489,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.drain(ST.first_seen(e, "k").select("user_id", "event_type"), "stream_dedup", "append").groupBy("user_id").agg(F.count("*").alias("kinds"))
 
 
-@query(None)
+@query(_BREAKER)
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ST.stream_table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.unix_millis("ts").alias("at"), "value", "event_type").withColumn("ok", F.col("event_type") != "error")
-    return ST.drain(ST.fold(e, "key", ["at", "event_id"], W.breaker_step(2, DAY), W.BREAKER), "stream_breaker", "append")
+    return ST.drain(ST.fold(e, "key", ["at", "event_id"], W.breaker_step(2, DAY), W.BREAKER), "stream_breaker", "append").select("event_id", "state", "passed", "next_state")
 
 
 @query("select user_id::varchar as key, max(event_id) as ts, arg_max(props, event_id) as data from events group by 1 having not arg_max(event_type = 'error', event_id)")
@@ -409,13 +501,13 @@ def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.kv_latest(e)
 
 
-@query("select 'end' || user_id as endpoint, (row_number() over (partition by user_id order by event_id))::int as page, 0 as pos, json_extract_string(props, '$.k') as item from events qualify page <= 20")
+@query("select 'end' || user_id as endpoint, (row_number() over (partition by user_id order by event_id))::int as page, 0 as pos, json_extract_string(props, '$.k') as item from events")
 def rest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    p = read(spark, sf_dir, "events").select(F.concat(F.lit("end"), F.col("user_id").cast("string")).alias("endpoint"), n.alias("page"), F.lit(10_000).alias("total_pages"), F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit("]")).alias("body"))
-    return R.rest_pages(p)
+    p = read(spark, sf_dir, "events").select(F.concat(F.lit("end"), F.col("user_id").cast("string")).alias("endpoint"), n.alias("page"), F.lit(2_000_000_000).alias("total_pages"), F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit("]")).alias("body"))
+    return R.rest_pages(p, max_pages=None)
 
 
 @query(f"select 'curl -X ' || method || ' ''' || url || '''' as curl, event_id from {LOG}")

@@ -19,10 +19,13 @@ from webloom.operators import dedup as D
 from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
+from webloom.plans.data_queries import _CHANGES, _RUNS, PRINTS, snapshots
 from webloom.plans.tables import entries, log, read
+from webloom.session import checkpointed
 from webloom.sinks import core as K
 from webloom.sources import capture as CAP
 from webloom.sources import formats as R
+from webloom.streaming import monitors as M
 from webloom.streaming import runners as ST
 
 QUERIES: dict = {}
@@ -172,24 +175,31 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("user_id", F.get_json_object("value", "$.event_id").cast("bigint").alias("line_key"), F.get_json_object("value", "$.k").alias("k"))
 
 
-@query("select source, min(doc_id) as first_doc, count(*) filter (where stop = 0) as kept from (select *, max(same) over (partition by source order by doc_id) as stop from (select source, doc_id, (text is not distinct from lag(text) over (partition by source order by doc_id))::int as same from (select * from documents qualify row_number() over (partition by source order by doc_id) <= 10))) group by 1")
+@query("select source, min(doc_id) as first_doc, count(*) filter (where stop = 0) as kept from (select *, max(same) over (partition by source order by doc_id) as stop from (select source, doc_id, (text is not distinct from lag(text) over (partition by source order by doc_id))::int as same from documents)) group by 1")
 def paginate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as pages that link to the next one."""
+    """Documents of a source as pages that link to the next one, to the end of each chain."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("source").orderBy("doc_id")
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.lead("doc_id").over(w).alias("next"), F.row_number().over(w).alias("n"), "text")
-    pages = d.select(_s("doc_id").alias("url"), _s("next").alias("next_url"), F.col("text").alias("items"))
-    starts = d.filter("n = 1").select(_s("doc_id").alias("url"), "source")
-    got = W.paginate(pages, starts.select("url"), max_pages=10)
-    return got.join(starts.withColumnRenamed("url", "start"), "start").groupBy("source").agg(F.min(F.col("url").cast("bigint")).alias("first_doc"), F.count("*").alias("kept"))
+    d = checkpointed(read(spark, sf_dir, "documents").select("source", "doc_id", F.lead("doc_id").over(w).alias("next"), F.row_number().over(w).alias("n"), F.sha2("text", 256).alias("items")))
+    pages = d.select(_s("doc_id").alias("url"), _s("next").alias("next_url"), "items")
+    starts = d.filter("n = 1").select(_s("doc_id").alias("start"), "source")
+    got = W.paginate(pages, starts.select(F.col("start").alias("url")), max_pages=None)
+    return got.join(starts, "start").groupBy("source").agg(F.min(F.col("url").cast("bigint")).alias("first_doc"), F.count("*").alias("kept"))
 
 
-@query("select o_custkey % 50 as id, 3 as hop, 'http://b.example/3' as url, 'GET' as method, true as stripped from orders group by 1")
+@query(
+    """select id, case id % 3 when 0 then 3 when 1 then 6 else 4 end::int as hop, case id % 3 when 0 then 'http://b.example/3' when 1 then 'http://c.example/0' else 'http://h.example/4' end as url, case id % 3 when 1 then 'PUT' else 'GET' end as method,
+ id % 3 <> 1 as stripped, case id % 3 when 1 then 'too many redirects' when 2 then 'too many hosts' end as reason from (select distinct o_custkey as id from orders)"""
+)
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("id")).distinct().select("id", F.lit("http://a.example/0").alias("url"), F.lit("POST").alias("method"))
-    chain = spark.createDataFrame([("http://a.example/0", 302, "http://a.example/1"), ("http://a.example/1", 301, "http://b.example/2"), ("http://b.example/2", 307, "http://b.example/3")], "url string, status int, location string")
-    return CAP.redirects(chain, start).filter("hop = 3").select("id", "hop", "url", "method", "stripped")
+    """Each customer's last hop: a chain that ends, a loop, and one through too many hosts."""
+    k = F.col("id") % 3
+    url = F.concat(F.lit("http://"), F.when(k == 0, "a").when(k == 1, "c").otherwise("d"), F.lit(".example/0"))
+    start = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().select("id", url.alias("url"), F.lit("PUT").alias("method"))
+    steps = [("a", 0, 302, "a", 1), ("a", 1, 301, "b", 2), ("b", 2, 307, "b", 3), ("c", 0, 307, "c", 1), ("c", 1, 308, "c", 0), ("d", 0, 303, "e", 1), ("e", 1, 302, "f", 2), ("f", 2, 302, "g", 3), ("g", 3, 302, "h", 4)]
+    chain = spark.createDataFrame([(f"http://{a}.example/{m}", s, f"http://{b}.example/{n}") for a, m, s, b, n in steps], "url string, status int, location string")
+    return CAP.redirects(chain, start).groupBy("id").agg(F.max_by(F.struct("hop", "url", "method", "stripped", "reason"), "hop").alias("x")).select("id", "x.*")
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then 'same-origin' when c_custkey % 3 = 1 then 'same-site' else 'cross-site' end as relation, 'b.example' as base, not (c_custkey % 2 = 0) as indexable from customer")
@@ -254,11 +264,12 @@ def block_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("c_custkey", "v.vendor", "v.blocked", "v.confidence")
 
 
-@query("select user_id, event_id, event_type from events where user_id % 2 = 0 or event_id % 2 = 0 qualify row_number() over (partition by user_id order by event_id desc) = 1")
+@query("select user_id, event_id, event_type, min(event_id) over (partition by user_id) as position from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type").filter("user_id % 2 = 0 or event_id % 2 = 0")
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     half = e.agg(F.max("event_id")).first()[0] // 2
-    return K.upsert(e.filter(F.col("event_id") <= half), e.filter(F.col("event_id") > half), ["user_id"], "event_id")
+    got = K.upsert(e.filter(F.col("event_id") <= half), e.filter(F.col("event_id") > half), ["user_id"], "event_id", place=True)
+    return got.select("user_id", "event_id", "event_type", F.col("_position.event_id").alias("position"))
 
 
 @query("select 'INSERT INTO \"t\" (\"id\", \"name\") VALUES ($1, $2), ($3, $4) ON CONFLICT (\"id\") DO UPDATE SET \"name\" = EXCLUDED.\"name\"' as pg, 'INSERT INTO `t` (`id`, `name`) VALUES (?, ?) ON DUPLICATE KEY UPDATE `name` = VALUES(`name`)' as my, n_nationkey from nation")
@@ -277,10 +288,20 @@ def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.held
 
 
-@query("select '# TYPE webloom_requests_total counter' || chr(10) || 'webloom_requests_total ' || count(*) as head from events")
+_METRIC = "'# TYPE webloom_{m}_total counter' || chr(10) || 'webloom_{m}_total ' || (select sum({m})::bigint from d) || chr(10) || (select string_agg('webloom_{m}_total{{domain=\"' || d || '\"}} ' || {m}, chr(10) order by 'webloom_{m}_total{{domain=\"' || d || '\"}} ' || {m}) from d)"
+
+
+@query(
+    "with d as (select event_type || '.example.com' as d, count(*) as requests, sum((event_type <> 'error')::int)::bigint as success, sum((event_type = 'error')::int)::bigint as failed from events group by 1) select "
+    + " || chr(10) || ".join(_METRIC.format(m=m) for m in ("requests", "success", "failed"))
+    + """ || chr(10) || '# TYPE webloom_success_rate_percent gauge' || chr(10) || 'webloom_success_rate_percent ' || (select floor(sum(success) / sum(requests) * 1000 + 0.5) / 10 from d) || chr(10) || '# TYPE webloom_requests_per_second gauge' || chr(10) || 'webloom_requests_per_second ' || (select floor(sum(requests) / 1000.0 * 100 + 0.5) / 100 from d)
+ || chr(10) || '# TYPE webloom_bytes_total counter' || chr(10) || 'webloom_bytes_total{dir="sent"} ' || (select sum(user_id)::bigint from events) || chr(10) || 'webloom_bytes_total{dir="received"} ' || (select sum(event_id)::bigint from events) || chr(10) || '# TYPE webloom_errors_total counter' || chr(10)
+ || (select string_agg('webloom_errors_total{category="' || c || '"} ' || case c when 'timeout' then (select count(*) from events where event_type = 'error' and user_id % 2 = 0) when 'http5xx' then (select count(*) from events where event_type = 'error' and user_id % 2 = 1) else 0 end, chr(10) order by i) from (select unnest(['timeout', 'network', 'security', 'circuit', 'validation', 'http5xx', 'http4xx', 'other']) as c, unnest(range(8)) as i)) as metrics"""
+)
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = log(spark, sf_dir).select("url", (F.col("status") == 200).alias("ok"))
-    return T.prometheus(T.observability(o)).select(F.substring_index("metrics", "\n", 2).alias("head"))
+    """The whole text: domains, rates, bytes and categories."""
+    o = log(spark, sf_dir).select(F.concat(F.lit("http://"), "event_type", F.lit(".example.com/x")).alias("url"), (F.col("status") == 200).alias("ok"), F.when(F.col("user_id") % 2 == 0, "TIMEOUT").alias("code"), F.lit(None).cast("string").alias("name"), "status", F.col("user_id").alias("sent"), F.col("event_id").alias("received"))
+    return T.prometheus(T.observability(o), whole=T.totals(o, 1000))
 
 
 @query("select 'log' as source, count(*) as n from events")
@@ -303,21 +324,6 @@ def schema_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", F.array_sort(F.map_values(JS.to_fields(JS.infer_schema(doc)))).alias("paths"))
 
 
-@query("select doc_id, 0 as distance from documents")
-def nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.fingerprints(read(spark, sf_dir, "documents"))
-    return D.nearest(p, p, 3).withColumn("distance", F.col("distance").cast("int"))
-
-
-@query("select count(*) as visited, 0::bigint as queued, count(*) as results from (select distinct o_custkey as url from orders)")
-def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A star: one hub that links to every customer of an order; the hub is the first of them."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dst")).distinct()
-    hub = o.agg(F.min("dst").alias("src"))
-    edges = o.join(F.broadcast(hub)).filter("src <> dst").select("src", "dst", F.col("dst").alias("pos"))
-    return W.crawl_stats(W.crawl(edges, hub.select(F.col("src").alias("url"), F.lit(0).alias("pos"))), edges)
-
-
 @query("select user_id, count(*) as n, max(event_id) as last_id from events group by 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ST.stream_table(spark, sf_dir, "events")
@@ -331,31 +337,33 @@ def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
-def _health_step(s: dict, e: dict) -> dict:
-    """Empty rate over the last ten runs, one row at a time."""
-    seen = s.setdefault("seen", [])
-    seen.append(bool(e["empty"]))
-    del seen[:-10]
-    return {"n_runs": len(seen), "empty_rate": round(sum(seen) / len(seen), 6)}
-
-
-@query("select event_id, count(*) over w as n_runs, round(avg((value < 20)::int) over w, 6) as empty_rate from events window w as (partition by event_type order by event_id rows between 9 preceding and current row)")
+@query(
+    f"""with r as ({_RUNS}), w as (select url, seq, count(*) over x as n_runs, avg(e) over x as er, count(full_cnt) over x as nf, avg(full_cnt) over x as ac, last_value(full_cnt ignore nulls) over x as lc, avg(m) over x as mr from r window x as (partition by url order by seq rows between 9 preceding and current row))
+select url, seq, n_runs, round(er, 6) as empty_rate, array_to_string(list_filter([case when nf >= 3 and ac > 1 and lc < 0.35 * ac then 'count_drop' end, case when n_runs >= 2 and er >= 0.5 then 'high_empty_rate' end, case when n_runs >= 2 and mr >= 0.5 then 'pattern_mismatch' end], lambda x: x is not null), ',') as alerts from w"""
+)
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ST.stream_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), (F.col("value") < 20).alias("empty"))
-    got = ST.drain(ST.fold(e, "key", ["event_id"], _health_step, "n_runs bigint, empty_rate double"), "stream_health", "append")
-    return got.select("event_id", "n_runs", "empty_rate")
-
-
-def _diff_step(s: dict, e: dict) -> dict:
-    """Whether a key's snapshot differs from the one before."""
-    before, s["data"] = s.get("data"), e["data"]
-    return {"changed": before is not None and before != e["data"]}
+    e = ST.stream_table(spark, sf_dir, "events").select(F.col("event_type").alias("url"), F.col("event_id").alias("seq"), (F.col("value") < 20).alias("empty"), F.col("user_id").alias("cnt"), (F.col("value") > 60).alias("pattern_mismatch"))
+    got = ST.drain(ST.fold(e, "url", ["seq"], M.health_step(), M.HEALTH), "stream_health", "append")
+    return got.select("url", "seq", "n_runs", F.round("empty_rate", 6).alias("empty_rate"), "alerts")
 
 
-@query("select event_id, coalesce(lag(event_type) over (partition by user_id order by event_id) <> event_type, false) as changed from events")
+@query(f"select user_id, event_id, first_run, len(changes) as n_changes, len(list_filter(changes, lambda x: x like '%:critical:%')) > 0 as has_critical, case when not first_run then len(list_filter(changes, lambda x: x like '%:critical:%' or x like '%:warn:%')) > 0 end as has_warn from {_CHANGES}")
 def stream_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ST.stream_table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("data"))
-    return ST.drain(ST.fold(e, "key", ["event_id"], _diff_step, "changed boolean"), "stream_diff", "append").select("event_id", "changed")
+    e = snapshots(ST.stream_table(spark, sf_dir, "events"))
+    got = ST.drain(ST.fold(e, "user_id", ["event_id"], M.diff_step(values=True), M.DIFF), "stream_diff", "append")
+    return got.select("user_id", "event_id", "first_run", F.json_array_length("changes").cast("bigint").alias("n_changes"), "has_critical", "has_warn")
+
+
+@query(
+    f"""with recursive p as materialized (select *, row_number() over (partition by source order by doc_id) as n from {PRINTS}),
+r as (select source, 0::bigint as n, null::bigint as doc_id, false as duplicate, null::int as distance, []::bigint[] as held from p where n = 1
+ union all select source, n, doc_id, coalesce(d <= 3, false), d, case when d <= 3 then held else list_append(held, fingerprint) end from (select p.source, p.n, p.doc_id, p.fingerprint, r.held, list_min(list_transform(r.held, lambda x: bit_count(xor(x, p.fingerprint))))::int as d from r join p on p.source = r.source and p.n = r.n + 1))
+select doc_id, duplicate, distance from r where n > 0"""
+)
+def stream_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents against those kept of it before, the last ten thousand."""
+    prints = D.fingerprints(ST.stream_table(spark, sf_dir, "documents"), keep=("source",))
+    return ST.drain(ST.fold(prints, "source", ["doc_id"], M.near_dup_step(), M.NEAR_DUP), "stream_near_dup", "append").select("doc_id", "duplicate", "distance")
 
 
 @query("select page_id, len(regexp_extract_all(html, '<p>')) > 0 as has_text from pages")
