@@ -1,19 +1,24 @@
 """Main-text extraction by tag-path ratios.
 
 A page is cut into text nodes, each at the end of a root-to-leaf path of tags. For every path the text
-length, the punctuation and the number of nodes are summed; length per node, times punctuation per node,
-less the share of text in links, is the path's ratio (after content extraction via path ratios, CEPR). The
-ratios, set along the page in node order, are smoothed by a Gaussian window, the smoothed text and
-punctuation ratios are fused, and nodes over a threshold of a share of their spread are content. The
-content nodes vote for the innermost element that holds nearly all of their text: the article. What is
-kept is all text in that element except subtrees whose tag, role or class says menu, header, footer,
-sidebar, notice, advert, form or comment.
+length, the punctuation and the number of nodes are summed; length per node less the share of text in links
+is the path's text ratio, punctuation per node its mark ratio (after content extraction via path ratios,
+CEPR). The ratios, set along the page in node order, are smoothed by a Gaussian window and fused, and nodes
+over a threshold of a share of their spread are content.
+
+The content nodes vote. The innermost <article> or <main> with half of their text is the article, else the
+innermost element with nearly all of it; of the latter the text from the first content block to the last one
+counts, with the headings before them, and without blocks in between whose path is under the threshold and
+mostly links. Subtrees that are menus, headers, footers, sidebars, notices, adverts, forms or comments go:
+by their tag or role always, by a class or id only where the votes agree that the page is elsewhere. A
+marked subtree that holds nearly all content is taken as unmarked.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,29 +41,51 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html caption tbody td tfoot th thead tr option optgroup legend summary".split()) | {"table"}
 FAMILY = {t: f for f in (("li",), ("dt", "dd"), ("td", "th"), ("tr",), ("option",), ("optgroup",), ("thead", "tbody", "tfoot")) for t in f}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Tags, roles and words of class or id whose subtrees are no part of an article.
-SKIP_TAGS = frozenset("nav aside footer form script style noscript template iframe object svg math button select textarea input dialog menu head title noembed noframes canvas audio video".split())
+#: Tags and roles whose subtrees are no part of an article; a form counts as marked, as some hold a whole page.
+SKIP_TAGS = frozenset("nav aside footer script style noscript template iframe object svg button select textarea input dialog menu head title noembed noframes canvas audio video".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
+#: Words of a class or id that say so: what a subtree is, and what it is made for or about.
 SKIP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay nav navbar navigation menu menus footer sidebar side-bar aside widget widgets share sharing social related recommended recommendations newsletter subscribe subscription signup sign-up login promo "
-    "promotion sponsor sponsored sponsors outbrain taboola pagination pager toolbar masthead topbar site-header page-header skip skip-link hidden sr-only visually-hidden screen-reader-text".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus footer "
+    "sidebar sidebars aside widget widgets share sharing social related recommended recommendations newsletter subscribe subscription signup login promo promotion sponsor sponsored sponsors outbrain taboola pagination "
+    "pager toolbar masthead topbar skip hidden".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Nouns that name a container or an item and leave it to the word before them to say of what.
+HOLDERS = frozenset("area bar block body box button buttons card column container content form group holder icons inner item items link links list panel posts section slot stories thread unit widget wrap wrapper".split())
+#: First words of a class that tells of the page around, not of the subtree; whole names that are spelt apart.
+ABOUT = frozenset("has no with without show hide is not".split())
+SPELT = {"sign-up": "signup", "side-bar": "sidebar", "sr-only": "hidden", "visually-hidden": "hidden", "screen-reader-text": "hidden", "skip-link": "skip"}
+#: A paragraph, and elements that a paragraph above them doesn't reach into.
+P_SCOPE = frozenset("p td th button article div section table".split())
+#: Depth from which elements stand beside one another; a page nested deeper is no document.
+DEPTH = 500
+#: Share of the content, and characters of it, that other subtrees have at most for a marked one to be unmarked.
+LEFT_SHARE, LEFT_CHARS = 0.1, 140
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)?\s*")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 @dataclass(eq=False)
 class Element:
+    """mark: the class that says that the subtree is no part, 'comment' or 'other'; skip: its tag or role says so.
+
+    scope: the element itself or the nearest above it that is a paragraph or keeps one in.
+    """
+
     tag: str
-    path: str
+    path: int
     up: Element | None
     skip: bool
+    mark: str
     link: bool
     depth: int
+    number: int
+    scope: Element | None = None
 
 
 @dataclass
@@ -72,32 +99,100 @@ class Node:
 
 @dataclass
 class Page:
-    nodes: list[Node] = field(default_factory=list)
-
+    """Text nodes in order, elements with parents before children, the number of different paths."""
 
-def _skips(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in SKIP_TAGS or (tag == "header" and not inside_article):
-        return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value.strip() in SKIP_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            for w in _WORDS.findall(value.replace("_", "-")):
-                if w in SKIP_WORDS or any(p in SKIP_WORDS for p in w.split("-")) or (w == "header" and not inside_article):
-                    return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+    nodes: list[Node] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+    paths: int = 0
 
 
-def parse(page: str) -> list[Node]:
+def marked(value: str, inside_article: bool) -> str:
+    """What a class or id says: 'comment', 'other' or ''. The last word of a name counts, holders aside."""
+    for name in _WORDS.findall(value.lower().replace("_", "-")):
+        words = SPELT.get(name, name).split("-")
+        if words[0] in ABOUT and len(words) > 1:
+            continue
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words[-1] in COMMENT_WORDS:
+            return "comment"
+        if words[-1] in SKIP_WORDS or (words[-1] == "header" and not inside_article):
+            return "other"
+    return ""
+
+
+class _Scanner:
+    """Tags of a page; what isn't found once is not looked for again, so malformed pages take linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none = page, set()
+
+    def find(self, what: str, pos: int) -> int:
+        if what in self.none:
+            return -1
+        at = self.page.find(what, pos)
+        if at < 0:
+            self.none.add(what)
+        return at
+
+    def attributes(self, pos: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """(attributes, whether the tag closes itself, where it ends) from behind a tag's name.
+
+        A quote opens a value only after =; one that is never closed ends with the tag.
+        """
+        page, out, n = self.page, [], len(self.page)
+        while pos < n:
+            m = _ATTR_NAME.match(page, pos)
+            name, pos = m[1], m.end()
+            if pos >= n:
+                break
+            if page[pos] == ">":
+                if name is not None:
+                    out.append((name.lower(), ""))
+                return out, page[pos - 1] == "/", pos + 1
+            if name is None:
+                pos += 1
+                continue
+            value = ""
+            if page[pos] == "=":
+                pos += 1
+                while pos < n and page[pos].isspace():
+                    pos += 1
+                quote = page[pos : pos + 1]
+                end = self.find(quote, pos + 1) if quote in ('"', "'") else -1
+                if end >= 0:
+                    value, pos = page[pos + 1 : end], end + 1
+                else:
+                    start = pos
+                    while pos < n and page[pos] != ">" and not page[pos].isspace():
+                        pos += 1
+                    value = page[start:pos]
+            out.append((name.lower(), value))
+        return out, False, n
+
+
+def _skips(tag: str, attrs: list[tuple[str, str]], inside_article: bool) -> tuple[bool, str]:
+    """(whether tag, role or style say that a subtree is no part of an article, what its class or id says)."""
+    skip, mark = tag in SKIP_TAGS or (tag == "header" and not inside_article), "other" if tag == "form" else ""
+    for name, value in attrs:
+        value = html.unescape(value).lower() if "&" in value else value.lower()
+        if name == "role":
+            skip |= value.strip() in SKIP_ROLES
+        elif name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            mark = mark or marked(value, inside_article)
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDES.search(value)):
+            skip = True
+    return skip, mark
+
+
+def parse(page: str) -> Page:
     """The page's text nodes in order, with implied end tags and stray end tags taken care of."""
-    nodes: list[Node] = []
-    root = Element("#root", "", None, False, False, 0)
-    now, block, pos, end = root, 0, 0, len(page)
+    out, scan = Page(), _Scanner(page)
+    root = Element("#root", 0, None, False, "", False, 0, 0)
+    out.elements.append(root)
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
+    nodes, now, block, pos, end, articles = out.nodes, root, 0, 0, len(page), 0
 
     def add(s: str) -> None:
         if s and not (s := html.unescape(s)).isspace():
@@ -105,155 +200,233 @@ def parse(page: str) -> list[Node]:
         elif s and nodes and nodes[-1].block == block:
             nodes.append(Node(now, " ", block))
 
+    def close(e: Element) -> None:
+        """Leave e and all in it."""
+        nonlocal now
+        while now is not e.up:
+            opened[now.tag] -= 1
+            now = now.up
+
     while pos < end:
-        m = _TOKEN.search(page, pos)
-        if m is None:
+        at = scan.find("<", pos)
+        if at < 0:
             add(page[pos:])
             break
-        if m.start() > pos:
-            add(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+        if at > pos:
+            add(page[pos:at])
+        if page.startswith("<!--", at):
+            stop = scan.find("-->", at + 4)
+            pos = end if stop < 0 else stop + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
-            e = now
-            while e is not root and e.tag != tag:
-                e = e.up
-            if e is not root:
-                now = e.up
+        if page.startswith("<![CDATA[", at):
+            stop = scan.find("]]>", at)
+            pos = end if stop < 0 else stop + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            stop = scan.find(">", at)
+            pos = end if stop < 0 else stop + 1
+            continue
+        ends = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + ends)
+        if m is None:
+            if ends:  # </ and no name is a comment
+                stop = scan.find(">", at)
+                pos = end if stop < 0 else stop + 1
+            else:
+                add("<")
+                pos = at + 1
+            continue
+        if scan.find(">", m.end()) < 0:  # the page ends within a tag
+            break
+        tag = m[0].lower()
+        attrs, itself, pos = scan.attributes(m.end())
+        if ends:
+            if opened[tag] > 0:
+                e = now
+                while e.tag != tag:
+                    e = e.up
+                close(e)
             if tag in BLOCK:
                 block += 1
             continue
-        attrs = m[3]
-        if tag in CLOSES_P:
-            e = now
-            while e is not root and e.tag not in ("p", "td", "th", "button", "article", "div", "section", "table"):
-                e = e.up
-            if e.tag == "p":
-                now = e.up
-        if tag in FAMILY:
+        if tag in CLOSES_P and now.scope is not None and now.scope.tag == "p":
+            close(now.scope)
+        if tag in FAMILY and any(opened[x] > 0 for x in FAMILY[tag]):
             e, fence, family = now, FENCE[tag], FAMILY[tag]
             while e is not root and e.tag not in family and e.tag not in fence:
                 e = e.up
             if e is not root and e.tag in family:
-                now = e.up
+                close(e)
         if tag in BLOCK:
             block += 1
-        if tag == "br":
-            add(" ")
-            if nodes and nodes[-1].block == block:
-                nodes.append(Node(now, " ", block))
+        if tag == "br" and nodes and nodes[-1].block == block:
+            nodes.append(Node(now, " ", block))
         if tag in VOID:
             continue
-        inside = now
-        while inside is not root and inside.tag not in ("article", "main"):
-            inside = inside.up
-        new = Element(tag, f"{now.path}/{tag}", now, now.skip or _skips(tag, attrs, inside is not root), now.link or tag == "a", now.depth + 1)
+        if now.depth >= DEPTH:
+            close(now)
+        skip, mark = _skips(tag, attrs, opened["article"] + opened["main"] > 0)
+        path = paths.setdefault((now.path, tag), len(paths) + 1)
+        new = Element(tag, path, now, now.skip or skip, mark, now.link or tag == "a", now.depth + 1, len(out.elements))
+        new.scope = new if tag in P_SCOPE else now.scope
+        out.elements.append(new)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            inner = page[pos : close.start() if close else end]
-            pos = close.end() if close else end
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+            inner = page[pos : shut.start() if shut else end]
+            pos = shut.end() if shut else end
             if not new.skip and inner.strip():
                 nodes.append(Node(new, html.unescape(inner), block))
             continue
-        if attrs.endswith("/") and tag in ("svg", "path", "math"):
+        if itself and tag in ("svg", "path", "math"):
             continue
+        opened[tag] += 1
         now = new
-    return nodes
-
-
-def content(nodes: list[Node]) -> np.ndarray:
-    """Which of the nodes are content by their paths' smoothed, fused ratios."""
-    n = len(nodes)
-    names = [x.at.path for x in nodes]
-    paths = {p: k for k, p in enumerate(dict.fromkeys(names))}
-    of = np.array([paths[p] for p in names])
-    length = np.array([len(x.text.strip()) for x in nodes], float)
-    punct = np.array([len(_PUNCT.findall(x.text)) for x in nodes], float)
-    live = np.array([not x.at.skip for x in nodes])
-    link = np.array([x.at.link for x in nodes])
-    count = np.bincount(of, minlength=len(paths))
-    total, linked = np.bincount(of, length), np.bincount(of, length * link)
-    texts = total / count * (1 - linked / np.maximum(total, 1))
-    marks = np.bincount(of, punct) / count
+    out.paths = len(paths) + 1
+    return out
+
+
+def content(page: Page, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which nodes are content by their paths' smoothed, fused ratios, each node's path's share of text in links)."""
+    n = len(page.nodes)
+    of = np.array([x.at.path for x in page.nodes])
+    length = np.array([len(x.text.strip()) for x in page.nodes], float)
+    punct = np.array([len(_PUNCT.findall(x.text)) for x in page.nodes], float)
+    link = np.array([x.at.link for x in page.nodes])
+    count = np.maximum(np.bincount(of, minlength=page.paths), 1)
+    total, linked = np.bincount(of, length, page.paths), np.bincount(of, length * link, page.paths)
+    in_links = linked / np.maximum(total, 1)
+    texts, marks = total / count * (1 - in_links), np.bincount(of, punct, page.paths) / count
     reach = np.arange(-2, 3)
     window = np.exp(-(reach**2) / 2.0)
     window /= window.sum()
 
     def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, 2, mode="edge"), window, "valid") if n else x
+        return np.convolve(np.pad(x, 2, mode="edge"), window, "valid")
 
-    fused = np.where(live, smooth(texts[of]) * (1 + smooth(marks[of])), 0)
     if not live.any():
-        return np.zeros(n, bool)
-    return live & ~link & (length > 0) & (fused >= 0.5 * fused[live].std()) & (fused > 0)
+        return np.zeros(n, bool), in_links[of]
+    fused = np.where(live, smooth(texts[of]) * (1 + smooth(marks[of])), 0)
+    return live & ~link & (length > 0) & (fused >= 0.5 * fused[live].std()) & (fused > 0), in_links[of]
+
+
+def _below(page: Page, own: np.ndarray) -> np.ndarray:
+    """For each element the sum of `own` over its subtree."""
+    total = own.astype(float)
+    for e in reversed(page.elements[1:]):
+        total[e.up.number] += total[e.number]
+    return total
+
+
+def _inherited(page: Page, own: list[bool]) -> np.ndarray:
+    """For each element whether it or an element above it has its entry set."""
+    out = np.array(own)
+    for e in page.elements[1:]:
+        out[e.number] |= out[e.up.number]
+    return out
+
+
+def _text_of(page: Page, which: np.ndarray) -> np.ndarray:
+    """For each element the characters of those of its own nodes that are set."""
+    out = np.zeros(len(page.elements))
+    for x, w in zip(page.nodes, which.tolist(), strict=True):
+        if w:
+            out[x.at.number] += len(x.text.strip())
+    return out
+
 
+def left_out(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(for each element whether it is left out, content nodes, their paths' share of text in links).
 
-def article(nodes: list[Node], picked: np.ndarray) -> Element | None:
+    Marks hold unless they leave next to no content: then the outermost marked subtree that has the most of
+    it is taken as unmarked, and so on. Comments need all content in them for that.
+    """
+    skip = [e.skip for e in page.elements]
+    marks = [e.mark for e in page.elements]
+    at = np.array([x.at.number for x in page.nodes], int)
+    while True:
+        out = _inherited(page, [s or bool(m) for s, m in zip(skip, marks, strict=True)])
+        hard = _inherited(page, skip)
+        picked, in_links = content(page, ~hard[at])
+        below = _below(page, _text_of(page, picked))
+        left = sum(len(page.nodes[k].text.strip()) for k in np.flatnonzero(picked & ~out[at]))
+        above = _inherited(page, [False] + [bool(marks[e.up.number]) for e in page.elements[1:]])
+        tops = [e for e in page.elements if marks[e.number] and not above[e.number] and not hard[e.number]]
+        best = max(tops, key=lambda e: below[e.number], default=None)
+        if best is None or not below[best.number] or left > (0 if marks[best.number] == "comment" else min(LEFT_SHARE * below[0], LEFT_CHARS)):
+            # the vote is of what is not left out, with ratios that only it has made
+            if out[at].any() and not out[at].all():
+                picked, in_links = content(page, ~out[at])
+            return out, picked & ~out[at], in_links
+        most = 0.9 * below[best.number] if 2 * below[best.number] > below[0] else np.inf
+        for e in tops if most == np.inf else page.elements:
+            if e is best or (marks[e.number] and below[e.number] >= most):
+                marks[e.number] = ""
+
+
+def article(page: Page, out: np.ndarray, picked: np.ndarray) -> Element | None:
     """The innermost element that holds nearly all content text, with wrappers that add little to it.
 
-    An <article> or <main> that holds most of it goes before.
+    An <article> or <main> that holds half of it goes before.
     """
-    weight: dict[Element, float] = {}
-    whole = 0.0
-    for x, p in zip(nodes, picked, strict=True):
-        if p:
-            size = len(x.text.strip())
-            whole += size
-            e = x.at
-            while e is not None:
-                weight[e] = weight.get(e, 0) + size
-                e = e.up
+    weight = _below(page, _text_of(page, picked))
+    whole = weight[0]
     if not whole:
         return None
-    marked = [e for e in weight if e.tag in ("article", "main") and weight[e] >= 0.5 * whole]
-    if marked:
-        return max(marked, key=lambda e: e.depth)
-    best = max((e for e in weight if weight[e] >= 0.9 * whole), key=lambda e: e.depth)
+    named = [e for e in page.elements if e.tag in ("article", "main") and weight[e.number] >= 0.5 * whole]
+    if named:
+        return max(named, key=lambda e: e.depth)
+    best = max((e for e in page.elements if weight[e.number] >= 0.9 * whole), key=lambda e: e.depth)
     while best.up is not None and best.tag not in BLOCK:
         best = best.up
     # one paragraph isn't an article: its heading and its neighbours stand beside it
     while best.up is not None and best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "blockquote", "pre", "ul", "ol", "table", "tbody"):
         best = best.up
     # a wrapper that adds little, such as a heading over the body of a post, belongs to it
-    total: dict[Element, int] = {}
-    for x in nodes:
-        e = None if x.at.skip or x.at.link else x.at
-        while e is not None:
-            total[e] = total.get(e, 0) + len(x.text.strip())
-            e = e.up
-    while best.up is not None and best.up.tag not in ("body", "html", "#root") and total.get(best.up, 0) <= 1.3 * total.get(best, 0):
+    plain = np.array([not (out[x.at.number] or x.at.link) for x in page.nodes], bool)
+    total = _below(page, _text_of(page, plain))
+    while best.up is not None and best.up.tag not in ("body", "html", "#root") and total[best.up.number] <= 1.3 * total[best.number]:
         best = best.up
     return best
 
 
+def _heading(e: Element | None) -> bool:
+    while e is not None:
+        if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return True
+        e = e.up
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, white space collapsed, joined by line feeds."""
     if not page:
         return ""
-    nodes = parse(page)
-    if not nodes:
+    p = parse(page)
+    if not p.nodes:
         return ""
-    within = article(nodes, content(nodes))
+    out, picked, in_links = left_out(p)
+    within = article(p, out, picked)
     if within is None:
         return ""
-    blocks: list[list[str]] = []
+    inside = _inherited(p, [e is within for e in p.elements])
+    blocks: list[list[int]] = []
     last = None
-    for x in nodes:
-        if x.at.skip:
-            continue
-        e = x.at
-        while e is not None and e is not within:
-            e = e.up
-        if e is None:
-            continue
-        if x.block != last:
-            blocks.append([])
-            last = x.block
-        blocks[-1].append(x.text)
-    joined = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return "\n".join(b for b in joined if b)
+    for k, x in enumerate(p.nodes):
+        if inside[x.at.number] and not out[x.at.number]:
+            if x.block != last:
+                blocks.append([])
+                last = x.block
+            blocks[-1].append(k)
+    texts = [_SPACE.sub(" ", "".join(p.nodes[k].text for k in b)).strip() for b in blocks]
+    blocks, texts = [b for b, t in zip(blocks, texts, strict=True) if t], [t for t in texts if t]
+    if within.tag not in ("article", "main"):
+        good = [any(picked[k] for k in b) for b in blocks]
+        first, stop = good.index(True), len(good) - good[::-1].index(True)
+        while first > 0 and all(_heading(p.nodes[k].at) for k in blocks[first - 1]):
+            first -= 1
+        menu = [not g and min(in_links[k] for k in b) > 0.5 for g, b in zip(good, blocks, strict=True)]
+        texts = [texts[k] for k in range(first, stop) if not menu[k]]
+    return "\n".join(texts)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +440,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
+    A malformed page gives what can be read of it: a quote that is never closed ends with its tag, elements
+    past DEPTH stand beside one another, and a page that ends within a tag ends before it. Time is linear in
+    a page's length.
+
     A null or empty page, or one without content, has an empty text. Repeated rows repeat; an empty table
     gives an empty one; other columns play no part.
     """
