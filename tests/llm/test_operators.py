@@ -265,6 +265,140 @@ def test_html_without_an_article():
     assert got[0] == "T" and len(got) == 3 and "Side" not in "".join(got)
 
 
+LONG = "<p>" + "Long text of the page, here. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f'<div class="site-content has-sidebar">{LONG * 3}</div>', 3),
+        (f'<div class="layout no-sidebar"><article>{LONG * 3}</article></div>', 3),
+        (f'<article>{LONG}<section class="social-history">{LONG}</section></article>', 2),
+        (f'<form id=aspnet><div class="page_sidebar"><div class="menu">{LONG * 5}</div></div></form>', 5),
+        (f'<div id=sidebar-content>{LONG * 4}</div><p>x</p>', 4),
+        (f'<div>{LONG * 2}</div><div class="user-comments">{LONG * 5}</div>', 2),
+        (f'<article>{LONG}<div class="ad-slot">{LONG}</div><ol class="comment-list"><li><article class=body>{LONG * 4}</article></ol></article>', 1),
+        (f'<div><div><a href=/>Home</a> <a href=/b>About</a></div>{LONG * 2}<ul><li><a href=/c>One thing to see</a><li><a href=/d>Another to see</a></ul>{LONG}<div>Imprint</div></div>', 3),
+    ],
+)
+def test_html_classes_and_content(page, n):
+    """Whole names of classes count by their last word, and not against nearly all content of a page."""
+    assert html_text.main_text(page) == "\n".join([re.sub("<.*?>", "", LONG).strip()] * n)
+
+
+def test_html_keeps_formulas():
+    assert html_text.main_text(f"<article>{LONG}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</article>").endswith("Let x=2 be.")
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", '<a b="', "<b>", "<p><ul>", "<", "<!--", "</", "<li>", "<p><button><ul>", "<table><tr><td>", "<div class='ad'>x", "<dd><b>y"])
+def test_html_of_a_malformed_megabyte(part):
+    """Twice the page takes about twice the time."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(part * (n // len(part)))
+        return time.process_time() - began
+
+    assert took(1_000_000) < max(1.0, 6 * took(250_000))
+
+
+class _Slow:
+    """The extraction written plainly over the standard library's parser, for pages with an <article>."""
+
+    def __init__(self, page):
+        import html.parser
+
+        outer = self
+        self.nodes, self.stack, self.block = [], [], 0
+
+        class Reader(html.parser.HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in html_text.CLOSES_P and "p" in outer.stack:
+                    inner = outer.stack[len(outer.stack) - 1 - outer.stack[::-1].index("p") :]
+                    if not set(inner[1:]) & {"td", "th", "button", "article", "div", "section", "table"}:
+                        del outer.stack[-len(inner) :]
+                if tag == "li" and "li" in outer.stack and "ul" not in outer.stack[len(outer.stack) - outer.stack[::-1].index("li") :]:
+                    del outer.stack[len(outer.stack) - 1 - outer.stack[::-1].index("li") :]
+                outer.block += tag in html_text.BLOCK
+                if tag == "br":
+                    outer.nodes.append((tuple(outer.stack), " ", outer.block))
+                elif tag not in html_text.VOID:
+                    outer.stack.append("ad" if ("class", "ad") in attrs else tag)
+
+            def handle_endtag(self, tag):
+                names = ["div" if x == "ad" else x for x in outer.stack]
+                if tag in names:
+                    del outer.stack[len(names) - 1 - names[::-1].index(tag) :]
+                outer.block += tag in html_text.BLOCK
+
+            def handle_data(self, data):
+                outer.nodes.append((tuple(outer.stack), data, outer.block))
+
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+
+    def text(self):
+        gone = {"head", "script", "style", "nav", "footer", "aside", "ad"}
+        paths = collections.defaultdict(lambda: [0, 0, 0])
+        for path, t, _ in self.nodes:
+            if not gone & set(path):
+                p = paths[path]
+                p[0] += len(t.strip())
+                p[1] += sum(t.count(c) for c in ".,;:!?")
+                p[2] += 1
+        best = max(paths, key=lambda p: paths[p][0] * (1 + paths[p][1]) / paths[p][2] ** 2, default=())
+        if "article" not in best:
+            return None
+        blocks = collections.defaultdict(str)
+        for path, t, block in self.nodes:
+            if "article" in path and not gone & set(path):
+                blocks[block] += t
+        joined = [" ".join(b.split()) for b in blocks.values()]
+        return "\n".join(b for b in joined if b)
+
+
+def test_html_against_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r.page_id: _Slow(r.html).text() for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == want and all(want.values())
+
+
+def test_html_ratios_against_brute_force(spark, sf_dir):
+    """Sums of paths, smoothing and threshold, node by node."""
+    import math
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        page = html_text.parse(r.html)
+        out, picked, in_links = html_text.left_out(page)
+        names = []
+        for x in page.nodes:
+            e, tags = x.at, []
+            while e.up is not None:
+                tags.append(e.tag)
+                e = e.up
+            names.append(tuple(tags))
+        text = [len(x.text.strip()) for x in page.nodes]
+        mark = [sum(c in ".,;:!?…。，、；：！？¿¡" for c in x.text) for x in page.nodes]
+        link = ["a" in n for n in names]
+        of = lambda values, k: sum(v for v, n in zip(values, names, strict=True) if n == names[k])
+        share = [of([t * s for t, s in zip(text, link, strict=True)], k) / max(1, of(text, k)) for k in range(len(names))]
+        ratio = [of(text, k) / names.count(names[k]) * (1 - share[k]) for k in range(len(names))]
+        marks = [of(mark, k) / names.count(names[k]) for k in range(len(names))]
+        weights = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
+        at = lambda v, k: v[min(max(k, 0), len(v) - 1)]
+        smooth = lambda v, k: sum(w * at(v, k + d) for w, d in zip(weights, range(-2, 3), strict=True)) / sum(weights)
+        live = [not out[x.at.number] for x in page.nodes]
+        fused = [smooth(ratio, k) * (1 + smooth(marks, k)) if live[k] else 0 for k in range(len(names))]
+        some = [f for f, x in zip(fused, live, strict=True) if x]
+        mean = sum(some) / len(some)
+        limit = 0.5 * (sum((f - mean) ** 2 for f in some) / len(some)) ** 0.5
+        want = [live[k] and not link[k] and text[k] > 0 and fused[k] > 0 and fused[k] >= limit * (1 - 1e-9) for k in range(len(names))]
+        assert picked.tolist() == want and in_links == pytest.approx(share)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
