@@ -1,11 +1,13 @@
 """Licence scans with DataFrame functions alone: TF-IDF cosine to templates, inheritance by path joins.
 
-A file's licence statements are its lines that name a licence or a right, a licence file's whole text among
-them. Each different statement becomes a sparse vector of its words, weighted by term frequency and the
-inverse frequency over the templates, and takes the template of the largest cosine at THRESHOLD or more. A
-file has the licence of its best statement. A file without one inherits from the nearest directory above
-it that has a licence file: each different directory is joined with its ancestors once, so a directory of
-many files costs one row there.
+A file's licence statements are its lines and its paragraphs that name a licence or a right. Each different
+statement becomes a sparse vector of its words, weighted by term frequency and the inverse frequency over the
+templates of statements, and takes the template of the largest cosine at THRESHOLD or more. A licence file is
+also compared as a whole, with the templates of whole licences, from FILE_THRESHOLD on; a whole licence goes
+before statements, so that what sets two licences with the same first sentence apart counts. A file has the
+licence of its best statement. A file without one inherits from the nearest directory above it that has a
+licence file: each different directory is joined with its ancestors once, so a directory of many files costs
+one row there.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from webloom.session import checkpointed
 
-THRESHOLD = 0.6
+THRESHOLD, FILE_THRESHOLD = 0.6, 0.8
 #: What a licence statement holds, and the names of licence files.
-TRIGGER = "(?i)licen[cs]e|copyright|all rights reserved|spdx|permission is hereby|redistribution and use|public domain"
+TRIGGER = "(?i)licen[cs]e|copyright|all rights reserved|spdx|permission is hereby|permission to use|permission is granted|redistribution and use|public domain|creative commons|cc0"
+#: What stands between paragraphs: a line that is blank but for marks of comments.
+BREAK = "\n[ \t\r\n/*#;%!-]*\n"
 FILE_NAME = "(?i)^(licen[cs]e|copying|copyright|unlicense|notice)([-_.].*)?$"
 #: Short public forms of licence statements.
 TEMPLATES = (
@@ -49,6 +53,62 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("Artistic-1.0", 'The "Artistic License" Preamble'),
+    ("PSF-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+#: Whole public licences that are short enough to be quoted whole.
+FILES = (
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, '
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("BSD-2-Clause", _BSD[0] + _BSD[2]),
+    ("BSD-3-Clause", "".join(_BSD)),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ),
 )
 
 
@@ -69,14 +129,14 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def classify(statements: DataFrame, column: str = "statement", threshold: float = THRESHOLD) -> DataFrame:
+def classify(statements: DataFrame, column: str = "statement", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(statement, licence, cosine) for each different statement that reaches the threshold.
 
     Of templates at the same cosine, to nine places, the first listed counts. Null statements are left out.
     """
     spark = statements.sparkSession
-    rows, idf, other = weights()
-    # both tables are constants of this module, a few hundred rows
+    rows, idf, other = weights(templates)
+    # both tables are constants of this module, under two thousand rows
     vectors = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double"))
     inverse = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     different = statements.select(F.col(column).alias("statement")).filter("statement is not null").distinct()
@@ -93,27 +153,30 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
 
     Returns key, licence, cosine (of the best statement, else null), inherited, inherited_from (the licence
     and the directory of the nearest licence file above, for rows without a licence of their own), and
-    is_licence_file. Of a file's statements the best cosine counts, of equal ones the licence first in the
-    alphabet; of a directory's licence files likewise. Null and empty texts have no statement; a null path
-    inherits nothing. Rows that repeat key, path and text repeat alike; an empty table gives an empty one;
-    other columns play no part.
+    is_licence_file: by its name, or as told. Of a licence file its whole text goes first, then of all
+    statements the best cosine counts, of equal ones the licence first in the alphabet; of a directory's
+    licence files likewise. Null and empty texts have no statement; a null path inherits nothing. Rows that
+    repeat key, path and text repeat alike; an empty table gives an empty one; other columns play no part.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"), (F.lit(False) if is_licence_file is None else F.coalesce(is_licence_file, F.lit(False))).alias("told"))
     rows = rows.withColumn("is_licence_file", F.coalesce(F.col("told") | name.rlike(FILE_NAME), F.lit(False)))
+    none = F.array().cast("array<struct<whole:int,statement:string>>")
     hit = F.col("text").rlike(TRIGGER)
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(TRIGGER))
-    whole = F.when(name.rlike(FILE_NAME), F.array(F.trim(F.regexp_replace("text", r"\s+", " ")))).otherwise(F.array().cast("array<string>"))
-    statements = F.when(hit, F.array_distinct(F.concat(lines, whole))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", BREAK)))
+    stated = F.transform(F.filter(F.transform(parts, _tidy), lambda x: x.rlike(TRIGGER)), lambda x: F.struct(F.lit(0).alias("whole"), x.alias("statement")))
+    whole = F.when(F.col("is_licence_file"), F.array(F.struct(F.lit(1).alias("whole"), _tidy(F.col("text")).alias("statement")))).otherwise(none)
+    statements = F.when(hit, F.array_distinct(F.concat(stated.cast("array<struct<whole:int,statement:string>>"), whole))).otherwise(none)
     small = checkpointed(rows.select("key", "path", "is_licence_file", statements.alias("statements"), F.xxhash64("text").alias("version")))
-    stated = small.filter(F.size("statements") > 0).select("key", "path", "version", F.explode("statements").alias("statement")).distinct()
-    known = checkpointed(classify(stated, threshold=threshold))
-    alphabet = F.struct("cosine", F.translate("licence", "".join(chr(c) for c in range(32, 127)), "".join(chr(158 - c) for c in range(32, 127))))
-    own = stated.join(known, "statement").groupBy("key", "path", "version").agg(F.max_by("licence", alphabet).alias("licence"), F.max("cosine").alias("cosine"))
-    o = own.select(F.col("key").alias("k"), F.col("path").alias("p"), F.col("version").alias("v"), "licence", "cosine")
+    stated = small.filter(F.size("statements") > 0).select("key", "path", "version", F.inline("statements")).distinct()
+    known = classify(stated.filter("whole = 0"), threshold=threshold).withColumn("whole", F.lit(0)).unionByName(classify(stated.filter("whole = 1"), threshold=FILE_THRESHOLD, templates=FILES).withColumn("whole", F.lit(1)))
+    known = checkpointed(known)
+    turned = F.translate("licence", "".join(chr(c) for c in range(32, 127)), "".join(chr(158 - c) for c in range(32, 127)))
+    own = stated.join(known, ["statement", "whole"]).groupBy("key", "path", "version").agg(F.max(F.struct("whole", "cosine", turned.alias("turned"), "licence")).alias("best"))
+    o = own.select(F.col("key").alias("k"), F.col("path").alias("p"), F.col("version").alias("v"), "best.licence", "best.cosine", "best.whole")
     found = small.drop("statements").join(o, F.col("key").eqNullSafe(F.col("k")) & F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v")), "left").drop("k", "p", "v", "version")
     found = checkpointed(found.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))))
-    given = found.filter("is_licence_file and licence is not null and dir is not null").groupBy(F.col("dir").alias("above")).agg(F.max_by("licence", alphabet).alias("inherited"))
+    given = found.filter("is_licence_file and licence is not null and dir is not null").groupBy(F.col("dir").alias("above")).agg(F.max(F.struct("whole", "cosine", turned.alias("turned"), "licence"))["licence"].alias("inherited"))
     below = found.filter("licence is null and dir is not null").select("dir").distinct()
     steps = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(F.split("dir", "/"), F.lit(1), k), "/").alias("above")))
     ladder = below.select("dir", F.explode(steps).alias("s")).select("dir", "s.depth", "s.above")
@@ -124,37 +187,51 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     return out.select(F.col("key").alias(key), "licence", "cosine", "inherited", "inherited_from", "is_licence_file")
 
 
-def oracle() -> str:
-    """DuckDB SQL for the query over `documents`, in which a short text with a licence statement is a licence file."""
-    rows, idf, other = weights()
+def _tidy(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
+
+
+def _values(templates: tuple[tuple[str, str], ...]) -> tuple[str, str, float]:
+    """SQL rows of the vectors and of the inverse frequencies, and the inverse frequency of other words."""
+    rows, idf, other = weights(templates)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({k}, {quote(n)}, {quote(t)}, {w!r}::double)" for k, n, t, w in rows), ", ".join(f"({quote(t)}, {v!r}::double)" for t, v in sorted(idf.items())), other
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query over `documents`, in which a text made mostly of licence statements is a licence file."""
+    (v0, i0, o0), (v1, i1, o1) = _values(TEMPLATES), _values(FILES)
     trigger, plain = TRIGGER.removeprefix("(?i)"), "regexp_replace(lower(statement), '[^a-z0-9]+', ' ', 'g')"
+    size = lambda x: f"len(regexp_extract_all({x}, '\\S+'))"
     return f"""
-with vectors(template, licence, term, weight) as (values {", ".join(f"({k}, {quote(n)}, {quote(t)}, {w!r}::double)" for k, n, t, w in rows)}),
-inverse(term, idf) as (values {", ".join(f"({quote(t)}, {v!r}::double)" for t, v in sorted(idf.items()))}),
-files as (select doc_id, source || '/' || lang as dir, text, len(regexp_extract_all(text, '\\S+')) <= {SHORT_WORDS} and regexp_matches(text, '{trigger}', 'i') as is_licence_file from documents),
-lines as (select distinct doc_id, trim(l, ' ') as statement from (select doc_id, unnest(string_split(text, chr(10))) as l from files) where regexp_matches(l, '{trigger}', 'i')),
-terms as (select statement, term, count(*) as n from (select statement, unnest(string_split({plain}, ' ')) as term from (select distinct statement from lines)) where term <> '' group by all),
-weighed as (select t.statement, t.term, t.n * coalesce(i.idf, {other!r}::double) as w from terms t left join inverse i using (term)),
-norms as (select statement, sqrt(sum(w * w)) as norm from weighed group by 1),
-dots as (select statement, template, licence, sum(w * weight) as dot from weighed join vectors using (term) group by all),
-near as (select statement, template, licence, round(dot / norm, 9) as cosine from dots join norms using (statement)),
-known as (select statement, licence, cosine from near where cosine >= {THRESHOLD} qualify row_number() over (partition by statement order by cosine desc, template) = 1),
-own as (select doc_id, licence, cosine from lines join known using (statement) qualify row_number() over (partition by doc_id order by cosine desc, licence) = 1),
-found as (select f.doc_id, f.dir, f.is_licence_file, o.licence, o.cosine from files f left join own o using (doc_id)),
-given as (select dir, licence as inherited from found where is_licence_file and licence is not null qualify row_number() over (partition by dir order by cosine desc, licence) = 1),
+with vectors(whole, template, licence, term, weight) as (select 0, * from (values {v0}) union all select 1, * from (values {v1})),
+inverse(whole, term, idf) as (select 0, * from (values {i0}) union all select 1, * from (values {i1})),
+files as (select doc_id, source || '/' || lang as dir, text, regexp_matches(text, '{trigger}', 'i') and {MOSTLY} * list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{trigger}', 'i')), lambda l: {size("l")})) >= {size("text")} as is_licence_file from documents),
+lines as (select distinct * from (select doc_id, 0 as whole, trim(regexp_replace(l, '[ \t\r\n]+', ' ', 'g'), ' ') as statement from (select doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{BREAK.replace(chr(10), chr(92) + "n")}'))) as l from files where regexp_matches(text, '{trigger}', 'i')) where regexp_matches(l, '{trigger}', 'i')
+ union all select doc_id, 1, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') from files where is_licence_file)),
+terms as (select statement, whole, term, count(*) as n from (select statement, whole, unnest(string_split({plain}, ' ')) as term from (select distinct statement, whole from lines)) where term <> '' group by all),
+weighed as (select t.statement, t.whole, t.term, t.n * coalesce(i.idf, case t.whole when 0 then {o0!r}::double else {o1!r}::double end) as w from terms t left join inverse i using (whole, term)),
+norms as (select statement, whole, sqrt(sum(w * w)) as norm from weighed group by all),
+dots as (select statement, whole, template, licence, sum(w * weight) as dot from weighed join vectors using (whole, term) group by all),
+near as (select statement, whole, template, licence, round(dot / norm, 9) as cosine from dots join norms using (statement, whole)),
+known as (select statement, whole, licence, cosine from near where cosine >= case whole when 0 then {THRESHOLD} else {FILE_THRESHOLD} end qualify row_number() over (partition by statement, whole order by cosine desc, template) = 1),
+own as (select doc_id, whole, licence, cosine from lines join known using (statement, whole) qualify row_number() over (partition by doc_id order by whole desc, cosine desc, licence) = 1),
+found as (select f.doc_id, f.dir, f.is_licence_file, o.whole, o.licence, o.cosine from files f left join own o using (doc_id)),
+given as (select dir, licence as inherited from found where is_licence_file and licence is not null qualify row_number() over (partition by dir order by whole desc, cosine desc, licence) = 1),
 ladder as (select doc_id, dir as above, 2 as depth from found where licence is null union all select doc_id, split_part(dir, '/', 1), 1 from found where licence is null),
 nearest as (select l.doc_id, g.inherited, l.above as inherited_from from ladder l join given g on l.above = g.dir qualify row_number() over (partition by l.doc_id order by l.depth desc) = 1)
 select f.doc_id, f.licence, round(f.cosine, 6) as cosine, n.inherited, n.inherited_from, f.is_licence_file from found f left join nearest n using (doc_id)
 """
 
 
-#: Words up to which a text of `documents` with a licence statement counts as its directory's licence file.
-SHORT_WORDS = 40
+#: A text of `documents` is its directory's licence file if this many times the words of its licence lines are all its words.
+MOSTLY = 2
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """scan() over `documents`, a file source/lang/doc_id for each; a short text with a statement is a licence file."""
+    """scan() over `documents`, a file source/lang/doc_id for each; a text made mostly of licence lines is a licence file."""
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    short = (F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) <= SHORT_WORDS) & F.col("text").rlike(TRIGGER)
-    return scan(files, is_licence_file=short).withColumn("cosine", F.round("cosine", 6))
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
+    stated = F.aggregate(F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER)), F.lit(0), lambda n, x: n + words(x))
+    mostly = F.when(F.col("text").rlike(TRIGGER), MOSTLY * stated >= words(F.col("text"))).otherwise(False)
+    return scan(files, is_licence_file=mostly).withColumn("cosine", F.round("cosine", 6))
