@@ -422,6 +422,64 @@ def corpus(n, seed):
     return out
 
 
+def slow_logit(m, t):
+    """One text's logit, word by word and window by window."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in t)
+    w = [x.encode() for x in re.findall("[0-9A-Za-z'\x80-\U0010ffff]+", lower)]
+    hashed = lambda b: int(text.hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    size = np.uint64(toxicity.BUCKETS - 1)
+
+    def vector(b):
+        ids = [1 + hashed(b) % (toxicity.BUCKETS - 1)]
+        for p in toxicity.PREFIXES:
+            if len(b) > p:
+                folded = sum((x + 1) * pow(0x100000001B3, k, 1 << 64) for k, x in enumerate(b[:p])) + int(text.mixed(np.full(1, p, np.uint64))[0])
+                ids.append(1 + int(text.mixed(np.full(1, folded % (1 << 64), np.uint64))[0] % size))
+        return sum(m.table[k].astype(float) for k in ids)
+
+    rows = [vector(b) for b in w] or [np.zeros(toxicity.DIM)]
+    rows += [np.zeros(toxicity.DIM)] * 2
+    best = []
+    for width, f in zip(toxicity.WIDTHS, m.filters, strict=True):
+        best += [max(sum(rows[k + j] @ f[j][:, c] for j in range(width)) for k in range(len(rows) - 2)) for c in range(toxicity.FILTERS)]
+    return float(np.maximum(np.array(best) + m.bias, 0) @ m.out + m.prior)
+
+
+def slow_language(t):
+    w = re.findall("[0-9a-z'\x80-\U0010ffff]+", t.lower())
+    votes = [sum(x in v.split() for x in w) for v in toxicity.FUNCTION_WORDS.values()]
+    return votes.index(max(votes)) if max(votes) else len(votes)
+
+
+@pytest.fixture(scope="module")
+def classifier():
+    rows = corpus(500, 3)
+    rows += [(500 + k, t.replace("the", "der").replace("and", "und"), y) for k, t, y in corpus(300, 4)]
+    fold = np.array([k % 4 == 1 for k, _, _ in rows])
+    return toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]), fold), rows, fold
+
+
+def test_toxicity_forward_against_brute_force(classifier):
+    m, rows, _ = classifier
+    texts = [t for _, t, _ in rows[::25]] + ["", " ", "one", "ÀÉ×Þ é's x1", "a" * 500, "nastiger " * 300, "\x00\x85"]
+    scores = m.scores(pa.array(texts))
+    for t, s in zip(texts, scores, strict=True):
+        assert s == pytest.approx(1 / (1 + np.exp(m.thresholds[slow_language(t)] - slow_logit(m, t))), abs=1e-4)
+
+
+def test_toxicity_thresholds_are_the_best_of_their_language(classifier):
+    """No threshold of a language's calibration rows has a better F1, and languages differ."""
+    m, rows, fold = classifier
+    of = [slow_language(t) for _, t, _ in rows]
+    for k in sorted(set(of)):
+        mine = [(slow_logit(m, t), y) for (_, t, y), f, x in zip(rows, fold, of, strict=True) if x == k and f]
+        if not 5 <= sum(y for _, y in mine) <= len(mine) - 5:
+            continue
+        f1 = lambda at: 2 * sum(y for s, y in mine if s > at) / max(1, sum(s > at for s, _ in mine) + sum(y for _, y in mine))  # noqa: B023, E731
+        assert f1(m.thresholds[k]) >= max(f1(s - 1e-6) for s, _ in mine) - 1e-9
+    assert len(set(of)) > 1
+
+
 def test_toxicity(spark):
     rows = corpus(600, 1)
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
@@ -634,6 +692,20 @@ def test_licences(spark):
     assert licences.scan(df).count() == 9 and licences.scan(df.filter("false")).count() == 0
 
 
+def test_whole_licences(spark):
+    """A whole text goes before its sentences; names don't matter, nor how it is wrapped; headers may be comments."""
+    import textwrap
+
+    files = dict(licences.FILES)
+    wrapped = lambda t: "Copyright (c) 2020 Somebody. All rights reserved.\n\n" + textwrap.fill(t.replace("the copyright holder", "Some Body"), 70)
+    rows = [(k, f"p{k}/LICENSE", wrapped(t)) for k, t in enumerate(files.values())]
+    header = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\"); you may\n * not use this file except in compliance with the License.\n *\n * code */"
+    rows += [(10, "src/a.c", header), (11, "q/COPYING", "   GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n\n" + "Everyone is permitted to copy. " * 900), (12, "q/x/y.c", "int main")]
+    got = {r.doc_id: (r.licence, r.inherited) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k][0] for k in range(len(files))] == list(files)
+    assert got[10][0] == "Apache-2.0" and got[11][0] == "GPL-3.0" and got[12] == (None, "GPL-3.0")
+
+
 def test_licences_of_odd_rows(odd):
     rows = licences.of_documents(odd).collect()
     assert len(rows) == 11 and {r.licence for r in rows if r.doc_id == 9} == {"Apache-2.0"}
