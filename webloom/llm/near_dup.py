@@ -6,13 +6,14 @@ principle two linked fingerprints differ in at most `reach` bits under some mask
 a mask is a metric of its own. For each mask a vantage-point tree over a sample deals fingerprints to shards:
 a node keeps those within `mu` of its pivot inside, the others outside. A fingerprint has one home shard,
 and by the triangle inequality it visits each shard whose side of a node lies within the reach of its own
-distance. Pivot and mu are those of several whose boundary holds the fewest fingerprints for the balance
-that they give. Inside a shard the tree goes on, vectorised, down to small leaves, where pairs are verified
-on all 64 bits.
+distance; all other branches are pruned. Pivot and mu are those of several whose boundary holds the fewest
+fingerprints for the balance that they give. Inside a shard the tree goes on, vectorised: first under the
+mask, then, among those that are equal under it, over all 64 bits, where branches overlap by the radius, down
+to leaves whose pairs are verified on all 64 bits.
 
-SCHEMES lists two ways to cut. Three single blocks have reach 1: few masks, but each level of a tree copies
-what lies at its boundary, so copies grow with the depth. Pairs of six blocks have reach 0: fifteen copies at
-any depth. Trees of both are grown from the sample, and the one that copies less is used; both are exact.
+Each level of a tree copies what lies at its boundary, so with a reach the copies grow with the depth: with
+three single blocks (reach 1) to 38 copies of each of 2^24 fingerprints. SCHEME, pairs of six blocks, has
+reach 0: no shard overlaps another, and there are fifteen copies at any size.
 
 Equal fingerprints are merged first, and a shard returns the links of a spanning forest of what it
 verified, so a group of copies costs rows in proportion to its size. No link between different
@@ -38,11 +39,13 @@ from webloom.session import checkpointed
 
 SHINGLE = 4
 RADIUS = 4
-#: Ways to cut the 64 bits: so many blocks, and how many of them make a mask.
-SCHEMES = ((3, 1), (6, 2))
+#: How the 64 bits are cut: so many blocks, and how many of them make a mask.
+SCHEME = (6, 2)
 #: Fingerprints for which a shard is meant, its visitors included, and a leaf within it.
 SHARD = 50_000
 LEAF = 192
+#: The cost, of 1 without a cut, up to which a cut inside a shard is worth it: beyond, both sides hold nearly all.
+WORTH = 0.9
 #: Sampled fingerprints for each shard that is meant, at least in all, and at most in all: 8 bytes each, on
 #: the driver. Past SAMPLE_MOST / SAMPLE_SHARD shards, shards grow with the input instead.
 SAMPLE_SHARD, SAMPLE_LEAST, SAMPLE_MOST = 48, 8192, 1 << 20
@@ -104,8 +107,8 @@ class Tree:
     shards: int
 
 
-def _cut(values: np.ndarray, reach: int, rng: np.random.Generator, pivots: int) -> tuple[np.uint64, int, np.ndarray] | None:
-    """(pivot, mu, distances) of the cheapest cut, None where no pivot parts the values.
+def _cut(values: np.ndarray, reach: int, rng: np.random.Generator, pivots: int) -> tuple[float, np.uint64, int, np.ndarray] | None:
+    """(cost, pivot, mu, distances) of the cheapest cut, None where no pivot parts the values.
 
     A side weighs what it holds and what visits it, to a power: balance pays, and so does a thin boundary.
     """
@@ -118,14 +121,11 @@ def _cut(values: np.ndarray, reach: int, rng: np.random.Generator, pivots: int)
             cost = inner**1.7 + outer**1.7
             if best is None or cost < best[0]:
                 best = (cost, pivot, mu, d)
-    return best[1:] if best else None
+    return best
 
 
-def grow(sample: np.ndarray, most: float, reach: int, rng: np.random.Generator, shards: float = float("inf")) -> Tree | None:
-    """A tree whose shards, visitors included, get at most `most` of the sample, but for equal values.
-
-    None if that takes more than so many shards, where each level copies about as much as it parts.
-    """
+def grow(sample: np.ndarray, most: float, reach: int, rng: np.random.Generator) -> Tree:
+    """A tree whose shards, visitors included, get at most `most` of the sample, but for equal values."""
     pivot, mu, inside, outside, n = [], [], [], [], 0
     stack = [(sample, sample, None)]
     while stack:
@@ -136,10 +136,8 @@ def grow(sample: np.ndarray, most: float, reach: int, rng: np.random.Generator,
             (inside if of[1] else outside)[of[0]] = here
         if cut is None:
             n += 1
-            if n > shards:
-                return None
             continue
-        at, edge, d = cut
+        _, at, edge, d = cut
         pivot.append(at)
         mu.append(edge)
         inside.append(0)
@@ -172,22 +170,9 @@ def route(values: np.ndarray, tree: Tree, reach: int) -> tuple[np.ndarray, np.nd
 
 
 def plan(sample: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, int, list[Tree]]:
-    """(masks, reach, trees) of the scheme that copies the sample least, for n fingerprints."""
-    best = None
-    for blocks, chosen in SCHEMES:
-        masks, reach = masks_of(blocks, chosen, radius)
-        shards = 16 + 8 * n / SHARD if reach else float("inf")
-        trees = []
-        for k, m in enumerate(masks):
-            trees.append(grow(sample & m, SHARD * len(sample) / max(1, n), reach, np.random.default_rng(k), shards))
-            if trees[-1] is None:
-                break
-        else:
-            some = sample[:SAMPLE_LEAST]
-            copies = sum(len(route(some & m, t, reach)[0]) for m, t in zip(masks, trees, strict=True))
-            if best is None or copies < best[0]:
-                best = (copies, masks, reach, trees)
-    return best[1:]
+    """(masks, reach, a tree for each mask) for n fingerprints, of which sample holds some."""
+    masks, reach = masks_of(*SCHEME, radius)
+    return masks, reach, [grow(sample & m, SHARD * len(sample) / max(1, n), reach, np.random.default_rng(k)) for k, m in enumerate(masks)]
 
 
 class _Forest:
@@ -249,21 +234,24 @@ def _leaf(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, fore
 
 def _search(fp: np.ndarray, is_home: np.ndarray, mask: np.uint64, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, root) of a spanning forest of one shard."""
-    forest, values = _Forest(len(fp)), fp & mask
-    rng = np.random.default_rng(7)
-    stack = [(np.flatnonzero(is_home), np.arange(len(fp)))]
+    forest, rng = _Forest(len(fp)), np.random.default_rng(7)
+    # under the mask first; what is equal there goes on over all bits, with the radius for reach
+    stack = [(np.flatnonzero(is_home), np.arange(len(fp)), fp & mask, reach)]
     while stack:
-        home, visit = stack.pop()
+        home, visit, values, near = stack.pop()
         if not len(home) or len(visit) < 2:
             continue
-        cut = _cut(values[home], reach, rng, 4) if len(home) > LEAF else None
-        if cut is None:
+        cut = _cut(values[home], near, rng, 4) if len(home) > LEAF else None
+        if cut is None and len(home) > LEAF and values is not fp:
+            values, near = fp, radius
+            cut = _cut(values[home], near, rng, 4)
+        if cut is None or cut[0] > WORTH:
             _leaf(fp, home, visit, radius, forest)
             continue
-        pivot, mu, d = cut
+        _, pivot, mu, d = cut
         far = np.bitwise_count(values[visit] ^ pivot).astype(np.int64)
-        stack.append((home[d <= mu], visit[far <= mu + reach]))
-        stack.append((home[d > mu], visit[far > mu - reach]))
+        stack.append((home[d <= mu], visit[far <= mu + near], values, near))
+        stack.append((home[d > mu], visit[far > mu - near], values, near))
     up = forest.roots()
     kept = np.flatnonzero(up != np.arange(len(up)))
     return kept, up[kept]
