@@ -190,6 +190,17 @@ def test_keep_first_is_by_row(spark):
     assert kept([(5, t, "b"), (5, t, "a"), (5, u, "c"), (6, u, "d")]) == [(5, u, "c"), (5, t, "a")]
 
 
+def test_crowded_masks_go_on_over_all_bits(monkeypatch):
+    """Fingerprints that are all equal under the mask: three far centres with near copies each, and pairs between."""
+    monkeypatch.setattr(near_dup, "LEAF", 8)
+    rng = random.Random(8)
+    fp = near_copies(rng, 700, centres=6, most=5) & ~np.uint64(0xFF)
+    fp = np.unique(fp)
+    joined = near_dup._Forest(len(fp))
+    joined.join(*near_dup._search(fp, np.ones(len(fp), bool), np.uint64(0xFF), 0, 4))
+    assert joined.roots().tolist() == slow_roots(fp)
+
+
 def test_dense_group():
     """A leaf that no pivot can split still gives one component, in few rows."""
     fp = np.array([1 << a | 1 << b for a in range(32) for b in range(a)], np.uint64)
