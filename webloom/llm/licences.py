@@ -12,18 +12,22 @@ one row there.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.session import checkpointed
 
 THRESHOLD, FILE_THRESHOLD = 0.6, 0.8
 #: What a licence statement holds, and the names of licence files.
 TRIGGER = "(?i)licen[cs]e|copyright|all rights reserved|spdx|permission is hereby|permission to use|permission is granted|redistribution and use|public domain|creative commons|cc0"
+#: Strings of which every trigger has one, in lower case.
+TRIGGER_PARTS = ("licen", "copyright", "all rights reserved", "spdx", "permission ", "redistribution and use", "public domain", "creative commons", "cc0")
 #: What stands between paragraphs: a line that is blank but for marks of comments.
 BREAK = "\n[ \t\r\n/*#;%!-]*\n"
 FILE_NAME = "(?i)^(licen[cs]e|copying|copyright|unlicense|notice)([-_.].*)?$"
@@ -129,26 +133,46 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def classify(statements: DataFrame, column: str = "statement", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(statement, licence, cosine) for each different statement that reaches the threshold.
+def _constant(df: DataFrame, rows: list[dict], kind: str) -> DataFrame:
+    """A table of constants, as one JSON literal."""
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
 
-    Of templates at the same cosine, to nine places, the first listed counts. Null statements are left out.
+
+def classify(statements: DataFrame) -> DataFrame:
+    """(whole, id, licence, cosine) for each different statement(whole, id, statement) that reaches its threshold.
+
+    whole 0 is compared with TEMPLATES, whole 1 with FILES. Of templates at the same cosine, to nine places,
+    the first listed counts. Null statements are left out. Statements are dealt once, by their id, and all
+    that follows stays where they are.
     """
-    spark = statements.sparkSession
-    rows, idf, other = weights(templates)
+    words, vectors, other = [], [], F.lit(None).cast("double")
+    for whole, templates in enumerate((TEMPLATES, FILES)):
+        rows, idf, rest = weights(templates)
+        words += [{"whole": whole, "term": t, "idf": v} for t, v in idf.items()]
+        vectors += [{"whole": whole, "template": k, "licence": name, "term": t, "weight": v} for k, name, t, v in rows]
+        other = F.when(F.col("whole") == whole, rest).otherwise(other)
     # both tables are constants of this module, under two thousand rows
-    vectors = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double"))
-    inverse = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    different = statements.select(F.col(column).alias("statement")).filter("statement is not null").distinct()
-    terms = different.select("statement", F.explode(_words(F.col("statement"))).alias("term")).groupBy("statement", "term").agg(F.count("*").alias("n"))
-    terms = terms.join(inverse, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    norm = terms.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(vectors, "term").groupBy("statement", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    near = dots.join(norm, "statement").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
-    return near.groupBy("statement").agg(F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"), F.max("cosine").alias("cosine"))
-
-
-def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", is_licence_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    inverse = F.broadcast(_constant(statements, words, "whole:int,term:string,idf:double"))
+    of = F.broadcast(_constant(statements, vectors, "whole:int,template:int,licence:string,term:string,weight:double"))
+    different = statements.filter("statement is not null").dropDuplicates(["whole", "id"])
+    terms = different.select("whole", "id", F.explode(_words(F.col("statement"))).alias("term")).groupBy("whole", "id", "term").agg(F.count("*").alias("n"))
+    terms = terms.join(inverse, ["whole", "term"], "left").withColumn("w", F.col("n") * F.coalesce("idf", other))
+    terms = terms.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("whole", "id"))))
+    dots = terms.join(of, ["whole", "term"]).groupBy("whole", "id", "norm", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    near = dots.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= F.when(F.col("whole") == 0, THRESHOLD).otherwise(FILE_THRESHOLD))
+    return near.groupBy("whole", "id").agg(F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"), F.max("cosine").alias("cosine"))
+
+
+def triggered(text: Column) -> Column:
+    """Whether a text has a trigger; most that have none are told by a search for plain strings."""
+    low = F.lower(text)
+    some = F.lit(False)
+    for x in TRIGGER_PARTS:
+        some |= low.contains(x)
+    return some & text.rlike(TRIGGER)
+
+
+def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", is_licence_file: Column | None = None) -> DataFrame:
     """The licence of each row of files(key, path, text).
 
     Returns key, licence, cosine (of the best statement, else null), inherited, inherited_from (the licence
@@ -161,18 +185,19 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     rows = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"), (F.lit(False) if is_licence_file is None else F.coalesce(is_licence_file, F.lit(False))).alias("told"))
     rows = rows.withColumn("is_licence_file", F.coalesce(F.col("told") | name.rlike(FILE_NAME), F.lit(False)))
-    none = F.array().cast("array<struct<whole:int,statement:string>>")
-    hit = F.col("text").rlike(TRIGGER)
+    kind = "array<struct<whole:int,id:string,statement:string>>"
+    none = F.array().cast(kind)
+    of = lambda whole, x: F.struct(F.lit(whole).alias("whole"), F.sha2(x, 256).alias("id"), x.alias("statement"))
     parts = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", BREAK)))
-    stated = F.transform(F.filter(F.transform(parts, _tidy), lambda x: x.rlike(TRIGGER)), lambda x: F.struct(F.lit(0).alias("whole"), x.alias("statement")))
-    whole = F.when(F.col("is_licence_file"), F.array(F.struct(F.lit(1).alias("whole"), _tidy(F.col("text")).alias("statement")))).otherwise(none)
-    statements = F.when(hit, F.array_distinct(F.concat(stated.cast("array<struct<whole:int,statement:string>>"), whole))).otherwise(none)
+    stated = F.transform(F.array_distinct(F.filter(F.transform(parts, _tidy), lambda x: x.rlike(TRIGGER))), lambda x: of(0, x))
+    whole = F.when(F.col("is_licence_file"), F.array(of(1, _tidy(F.col("text")))).cast(kind)).otherwise(none)
+    statements = F.when(triggered(F.col("text")), F.concat(stated.cast(kind), whole)).otherwise(none)
     small = checkpointed(rows.select("key", "path", "is_licence_file", statements.alias("statements"), F.xxhash64("text").alias("version")))
-    stated = small.filter(F.size("statements") > 0).select("key", "path", "version", F.inline("statements")).distinct()
-    known = classify(stated.filter("whole = 0"), threshold=threshold).withColumn("whole", F.lit(0)).unionByName(classify(stated.filter("whole = 1"), threshold=FILE_THRESHOLD, templates=FILES).withColumn("whole", F.lit(1)))
-    known = checkpointed(known)
+    every = small.filter(F.size("statements") > 0).select("key", "path", "version", F.inline("statements"))
+    known = checkpointed(classify(every))
+    stated = every.select("key", "path", "version", "whole", "id").distinct()
     turned = F.translate("licence", "".join(chr(c) for c in range(32, 127)), "".join(chr(158 - c) for c in range(32, 127)))
-    own = stated.join(known, ["statement", "whole"]).groupBy("key", "path", "version").agg(F.max(F.struct("whole", "cosine", turned.alias("turned"), "licence")).alias("best"))
+    own = stated.join(known, ["whole", "id"]).groupBy("key", "path", "version").agg(F.max(F.struct("whole", "cosine", turned.alias("turned"), "licence")).alias("best"))
     o = own.select(F.col("key").alias("k"), F.col("path").alias("p"), F.col("version").alias("v"), "best.licence", "best.cosine", "best.whole")
     found = small.drop("statements").join(o, F.col("key").eqNullSafe(F.col("k")) & F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v")), "left").drop("k", "p", "v", "version")
     found = checkpointed(found.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))))
@@ -233,5 +258,5 @@ def of_documents(docs: DataFrame) -> DataFrame:
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
     stated = F.aggregate(F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER)), F.lit(0), lambda n, x: n + words(x))
-    mostly = F.when(F.col("text").rlike(TRIGGER), MOSTLY * stated >= words(F.col("text"))).otherwise(False)
+    mostly = F.when(triggered(F.col("text")), MOSTLY * stated >= words(F.col("text"))).otherwise(False)
     return scan(files, is_licence_file=mostly).withColumn("cosine", F.round("cosine", 6))
