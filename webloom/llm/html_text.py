@@ -285,28 +285,43 @@ def parse(page: str) -> Page:
     return out
 
 
-def content(page: Page, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which nodes are content by their paths' smoothed, fused ratios, each node's path's share of text in links)."""
-    n = len(page.nodes)
-    of = np.array([x.at.path for x in page.nodes])
-    length = np.array([len(x.text.strip()) for x in page.nodes], float)
-    punct = np.array([len(_PUNCT.findall(x.text)) for x in page.nodes], float)
-    link = np.array([x.at.link for x in page.nodes])
-    count = np.maximum(np.bincount(of, minlength=page.paths), 1)
-    total, linked = np.bincount(of, length, page.paths), np.bincount(of, length * link, page.paths)
-    in_links = linked / np.maximum(total, 1)
-    texts, marks = total / count * (1 - in_links), np.bincount(of, punct, page.paths) / count
-    reach = np.arange(-2, 3)
-    window = np.exp(-(reach**2) / 2.0)
-    window /= window.sum()
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, 2, mode="edge"), window, "valid")
-
-    if not live.any():
-        return np.zeros(n, bool), in_links[of]
-    fused = np.where(live, smooth(texts[of]) * (1 + smooth(marks[of])), 0)
-    return live & ~link & (length > 0) & (fused >= 0.5 * fused[live].std()) & (fused > 0), in_links[of]
+@dataclass
+class Ratios:
+    """What the paths of a page's nodes sum up to, and its nodes' own lengths."""
+
+    texts: np.ndarray  # of each node its path's text ratio
+    marks: np.ndarray  # its path's mark ratio
+    in_links: np.ndarray  # its path's share of text in links
+    length: np.ndarray
+    free: np.ndarray  # whether it has text and is in no link
+
+    @staticmethod
+    def of(page: Page) -> Ratios:
+        of = np.array([x.at.path for x in page.nodes])
+        length = np.array([len(x.text.strip()) for x in page.nodes], float)
+        punct = np.array([len(_PUNCT.findall(x.text)) for x in page.nodes], float)
+        link = np.array([x.at.link for x in page.nodes])
+        count = np.maximum(np.bincount(of, minlength=page.paths), 1)
+        total, linked = np.bincount(of, length, page.paths), np.bincount(of, length * link, page.paths)
+        in_links = linked / np.maximum(total, 1)
+        return Ratios((total / count * (1 - in_links))[of], (np.bincount(of, punct, page.paths) / count)[of], in_links[of], length, ~link & (length > 0))
+
+    def content(self, live: np.ndarray) -> np.ndarray:
+        """Which of the live nodes are content by their paths' smoothed, fused ratios."""
+        if not live.any():
+            return live
+        fused = np.where(live, _smooth(self.texts) * (1 + _smooth(self.marks)), 0)
+        return live & self.free & (fused >= 0.5 * fused[live].std()) & (fused > 0)
+
+
+_REACH = 2
+_WINDOW = np.exp(-(np.arange(-_REACH, _REACH + 1) ** 2) / 2.0)
+_WINDOW /= _WINDOW.sum()
+
+
+def _smooth(x: np.ndarray) -> np.ndarray:
+    """By the Gaussian window; the first and last values go on beyond the ends."""
+    return np.convolve(np.concatenate([np.full(_REACH, x[0]), x, np.full(_REACH, x[-1])]), _WINDOW, "valid")
 
 
 def _below(page: Page, own: np.ndarray) -> np.ndarray:
@@ -340,23 +355,25 @@ def left_out(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Marks hold unless they leave next to no content: then the outermost marked subtree that has the most of
     it is taken as unmarked, and so on. Comments need all content in them for that.
     """
-    skip = [e.skip for e in page.elements]
-    marks = [e.mark for e in page.elements]
+    r, marks = Ratios.of(page), [e.mark for e in page.elements]
+    skips = _inherited(page, [e.skip for e in page.elements])
     at = np.array([x.at.number for x in page.nodes], int)
+    picked = r.content(~skips[at])
+    if not any(marks):
+        return skips, picked, r.in_links
+    whole = r.length[picked].sum()
     while True:
-        out = _inherited(page, [s or bool(m) for s, m in zip(skip, marks, strict=True)])
-        hard = _inherited(page, skip)
-        picked, in_links = content(page, ~hard[at])
-        below = _below(page, _text_of(page, picked))
-        left = sum(len(page.nodes[k].text.strip()) for k in np.flatnonzero(picked & ~out[at]))
-        above = _inherited(page, [False] + [bool(marks[e.up.number]) for e in page.elements[1:]])
-        tops = [e for e in page.elements if marks[e.number] and not above[e.number] and not hard[e.number]]
-        best = max(tops, key=lambda e: below[e.number], default=None)
-        if best is None or not below[best.number] or left > (0 if marks[best.number] == "comment" else min(LEFT_SHARE * below[0], LEFT_CHARS)):
-            # the vote is of what is not left out, with ratios that only it has made
-            if out[at].any() and not out[at].all():
-                picked, in_links = content(page, ~out[at])
-            return out, picked & ~out[at], in_links
+        out = skips | _inherited(page, list(map(bool, marks)))
+        left = r.length[picked & ~out[at]].sum()
+        best = None
+        if left <= min(LEFT_SHARE * whole, LEFT_CHARS):
+            below = _below(page, _text_of(page, picked))
+            above = _inherited(page, [False] + [bool(marks[e.up.number]) for e in page.elements[1:]])
+            tops = [e for e in page.elements if marks[e.number] and not above[e.number] and not skips[e.number] and below[e.number]]
+            best = max(tops, key=lambda e: below[e.number], default=None)
+        if best is None or (left and marks[best.number] == "comment"):
+            # the vote is of what is not left out, against the spread of that alone
+            return out, r.content(~out[at]), r.in_links
         most = 0.9 * below[best.number] if 2 * below[best.number] > below[0] else np.inf
         for e in tops if most == np.inf else page.elements:
             if e is best or (marks[e.number] and below[e.number] >= most):
