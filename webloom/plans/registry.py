@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import control_queries, data_queries, more_queries, page_queries
+from webloom.plans import control_queries, data_queries, detail_queries, more_queries, page_queries
 
-MODULES = (page_queries, data_queries, more_queries, control_queries)
+MODULES = (page_queries, data_queries, more_queries, control_queries, detail_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
