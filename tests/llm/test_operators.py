@@ -533,6 +533,19 @@ def test_pieces_equal_the_library():
         assert e.digest(t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
+def test_pieces_refuse_a_model_of_other_rules(monkeypatch):
+    """As one that folds letters or keeps no spaces would show."""
+    import sentencepiece
+
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def encode(self, t, **k):
+            return super().encode(t.replace("  ", " "), **k)
+
+    monkeypatch.setattr(pieces.sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="two  spaces"):
+        pieces.Encoder(MODEL)
+
+
 def test_pieces_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "MEMO", 5)
     e = pieces.Encoder(MODEL)

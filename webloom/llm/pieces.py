@@ -35,12 +35,18 @@ MEMO, MEMO_CHARS = 150_000, 32
 PAIRS = 400_000
 #: Characters that may stand together in a unit of letters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Texts that a model whose rules are not the ones of this encoder encodes otherwise: spaces, forms of letters, marks.
+PROBES = ("", " ", "a", "  two  spaces ", "tab\tfeed\n\r", "ﬁ①Ａ", "e\u0301é", "▁x", "\u00a0\u200b\u3000", "The quick brown fox, 12345 times.", "\x00\x01\ufffd😀")
 _NONE = float("-inf")
 
 
 @dataclass
 class Encoder:
-    """An encoder for one model file; it reads the vocabulary from it and nothing else."""
+    """An encoder for one model file; it reads the vocabulary from it and nothing else.
+
+    The file's rules must be: byte-pair merges, a space put before the text, no other normalisation, bytes for
+    unknown characters. A file that encodes one of PROBES otherwise is refused.
+    """
 
     path: str
     ids: dict[str, int] = field(default_factory=dict)
@@ -71,6 +77,10 @@ class Encoder:
                 self.automaton.add_word(p, (len(p), k))
         self.automaton.make_automaton()
         self.unit = re.compile(self._unit_pattern())
+        for t in PROBES:
+            ids = sp.encode(t, add_eos=True)
+            if self.encode(t) != ids or self.decode(ids) != sp.decode(ids):
+                raise ValueError(f"{self.path} has rules that this encoder doesn't follow: it differs on {t!r}")
 
     def _unit_pattern(self) -> str:
         """Units: a run of spaces with what follows; line feeds and letters apart where no piece joins them."""
