@@ -197,6 +197,27 @@ def block_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("event_id", "v.blocked", "v.vendor", "v.kind", "v.confidence", "v.score")
 
 
+_VENDORS = (
+    ("cloudflare", "challenge", "cdn-cgi/challenge-platform"), ("datadome", "challenge", "geo.captcha-delivery.com"), ("perimeterx", "captcha", "Access to this page has been DENIED"), ("akamai", "denied", "Reference #18.a1"),
+    ("imperva", "challenge", "_Incapsula_Resource"), ("kasada", "challenge", "KPSDK"), ("awswaf", "denied", "aws-waf-token"), ("sucuri", "denied", "Sucuri Website Firewall"), ("google-sorry", "captcha", "/sorry/index"),
+)
+#: Marks that a vendor's text holds: datadome's is one of captcha-delivery and of its challenge, imperva's of both.
+_SCORES = {"datadome": 4, "imperva": 4}
+
+
+@query(
+    "with v(i, vendor, kind, score) as (values " + ", ".join(f"({k}, '{v}', '{kind}', {_SCORES.get(v, 2)})" for k, (v, kind, _) in enumerate(_VENDORS)) + ") select event_id, vendor, kind, score + (user_id % 2)::int as score, score + user_id % 2 >= 2 as blocked, case when score + user_id % 2 >= 4 then 'high' else 'medium' end as confidence from events join v on event_id % 9 = i"
+)
+def block_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vendor by a mark of its page, with a status that adds to it or not."""
+    k = F.col("event_id") % 9
+    body = F.lit("x")
+    for n, (_, _, mark) in enumerate(_VENDORS):
+        body = F.when(k == n, f"<html>\n{mark}\n</html>").otherwise(body)
+    v = read(spark, sf_dir, "events").select("event_id", Q.block_verdict(F.when(F.col("user_id") % 2 == 1, 503).otherwise(200), F.create_map().cast("map<string,string>"), body).alias("v"))
+    return v.select("event_id", "v.vendor", "v.kind", "v.score", "v.blocked", "v.confidence")
+
+
 @query("select event_id, (json_extract_string(props, '$.k'))::int as k, [json_extract(props, '$.k')::varchar] as found from events")
 def json_path_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", J.json_value("props", "$.k").cast("int").alias("k"), J.json_path("props", "$..k").alias("found"))
