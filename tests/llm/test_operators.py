@@ -233,6 +233,8 @@ def test_token_counts(odd, none, block):
     got = token_counts.count(odd, RANKS, pattern(), block=block).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == want
     assert token_counts.count(none, RANKS, pattern()).count() == 0
+    named = token_counts.count(odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), RANKS, pattern(), block=block).collect()
+    assert sorted((int(r.doc_id[1:]) if r.doc_id else -1, r.n_tokens) for r in named) == want
 
 
 @pytest.mark.parametrize("ranges", [True, False])
@@ -603,6 +605,28 @@ def test_quality_verdicts(spark):
         assert got.js_common == pytest.approx(slow_distance(m["common"][k], shares["common"][near].mean(0)), abs=1e-8)
 
 
+def test_quality_of_the_tables(spark, sf_dir):
+    """Counts, references by language, distances and limits on real rows, one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()
+    got = {r.doc_id: r for r in quality.assess(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)).collect()}
+    m = quality.measure(pa.array([r.text for r in docs]))
+    shares = {k: m[k] / np.maximum(1, m[k].sum(1, keepdims=True)) for k in ("chars", "common")}
+    for lang in {r.lang for r in docs}:
+        mine = [k for k, r in enumerate(docs) if r.lang == lang]
+        long = [k for k in mine if m["n_words"][k] >= quality.CHAR_LIMITS[0][0]]
+        first = {k: slow_distance(m["chars"][k], shares["chars"][long].mean(0)) for k in long}
+        middle = np.ceil(sorted(first.values())[(len(long) - 1) // 2] * quality.STEPS) / quality.STEPS
+        near = [k for k in long if first[k] <= max(quality.NEAR, middle) + 1e-12]
+        for k in mine:
+            r, counts = got[docs[k].doc_id], slow_counts(docs[k].text)
+            assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == counts
+            js = [slow_distance(m[h][k], shares[h][near].mean(0)) for h in ("chars", "common")]
+            assert (r.js_chars, r.js_common) == pytest.approx(js, abs=1e-8)
+            base = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+            off = any(counts[0] >= least and d > limit for d, limits in zip(js, (quality.CHAR_LIMITS, quality.WORD_LIMITS), strict=True) for least, limit in limits)
+            assert (r.base_failed, r.kept) == (base, not base and not off)
+
+
 def test_quality_of_odd_rows(odd, none):
     rows = quality.assess(odd).collect()
     assert len(rows) == 11

@@ -50,8 +50,10 @@ def write_blocks(docs: DataFrame, path: str, pattern: str, end: int = END, block
         e, file = _encoding(path, pattern), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         size, number, before = 0, 0, 0
-        row = lambda n, data, ids, first: pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([first], pa.int64())], ["file", "block", "data", "ids", "first"])
+        named = pa.list_(pa.int64())
+        row = lambda n, data, ids, first: pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary()), pa.array([ids], named), pa.array([first], pa.int64())], ["file", "block", "data", "ids", "first"])
         for b in batches:
+            named = pa.list_(b.column(0).type)
             column = text.strings(b.column(1))
             for x, y in text.slices(column):
                 for t in column[x:y].to_pylist():
@@ -68,7 +70,11 @@ def write_blocks(docs: DataFrame, path: str, pattern: str, end: int = END, block
         if size:
             yield row(number, np.concatenate(held).tobytes(), None, None)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "file long, block long, data binary, ids array<long>, first long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _schema(("data", T.BinaryType()), ("ids", T.ArrayType(docs.schema[id_col].dataType)), ("first", T.LongType())))
+
+
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in (("file", T.LongType()), ("block", T.LongType()), *fields)])
 
 
 def _opened(url: str):
@@ -152,7 +158,7 @@ def scan(blocks: DataFrame, end: int = END, id_bytes: int = 2) -> DataFrame:
     for name, kind in (("ids", "array<long>"), ("first", "long")):
         if name not in blocks.columns:
             blocks = blocks.withColumn(name, F.lit(None).cast(kind))
-    return blocks.select("file", "block", "data", "ids", "first").mapInArrow(_scanner(end, id_bytes), "file long, block long, gaps array<long>, tail long, ids array<long>, first long")
+    return blocks.select("file", "block", "data", "ids", "first").mapInArrow(_scanner(end, id_bytes), _schema(("gaps", T.ArrayType(T.LongType())), ("tail", T.LongType()), ("ids", blocks.schema["ids"].dataType), ("first", T.LongType())))
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def stitch(scanned: DataFrame) -> DataFrame:
 def count(docs: DataFrame, path: str, pattern: str, end: int = END, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, file, doc_no, n_tokens) for each row of docs, through flat token files; n_tokens counts the end.
 
-    A null text counts as empty: its end alone. Repeated rows repeat; a null doc_id stays null; an empty
+    doc_id is of any type. A null text counts as empty: its end alone. Repeated rows repeat; a null doc_id stays null; an empty
     table gives an empty one; other columns play no part.
     """
     # one pass writes, scans and forgets the ids: what is kept of a block is its gaps
