@@ -30,7 +30,7 @@ from webloom.llm import text
 
 SPACE = "▁"
 #: Units that a worker remembers at most, and characters of a remembered unit.
-MEMO, MEMO_CHARS = 400_000, 32
+MEMO, MEMO_CHARS = 250_000, 32
 #: Pairs whose compatibility a worker remembers at most.
 PAIRS = 400_000
 #: Characters that may stand together in a unit of letters.
