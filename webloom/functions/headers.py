@@ -106,7 +106,7 @@ def retry_after_ms(value: Column, now_ms: Column) -> Column:
     """Retry-After in milliseconds: seconds, or an HTTP date less now, 0 at least; else null."""
     seconds = F.trim(value).try_cast("double")
     stamp = F.try_to_timestamp(F.regexp_extract(value, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.round(seconds * 1000)).cast("bigint")).otherwise(F.greatest(F.lit(0).cast("bigint"), F.unix_millis(stamp) - now_ms))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.round(seconds * 1000)).cast("bigint")).when(stamp.isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.unix_millis(stamp) - now_ms))
 
 
 def set_cookie(line: Column, now_ms: Column) -> Column:

@@ -12,23 +12,12 @@ from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
 from webloom.plans.data_queries import DAY, _outcomes
-from webloom.plans.tables import read
+from webloom.plans.tables import read, registered
 from webloom.session import checkpoint_folder
 from webloom.sinks import core as K
 from webloom.sources import capture as CAP
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registered()
 
 
 def _folder(spark: SparkSession, name: str) -> str:

@@ -14,25 +14,14 @@ from webloom.operators import dedup as D
 from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
-from webloom.plans.tables import LOG, entries, log, read
+from webloom.plans.tables import LOG, entries, log, read, registered
 from webloom.session import checkpointed
 from webloom.sinks import core as K
 from webloom.sources import capture as C
 from webloom.sources import formats as R
 from webloom.streaming import runners as ST
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registered()
 
 
 @query(f"select event_id, regexp_replace(regexp_replace(url, '[?].*$', ''), '/users/[0-9]+/', '/users/:id/') as template, ['k'] as params, 'api.example.com' as host from {LOG}")

@@ -16,24 +16,13 @@ from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
 from webloom.plans.data_queries import _CHANGES, DAY, _links, _timed, queue_replay, snapshots
-from webloom.plans.tables import LOG, entries, read
+from webloom.plans.tables import LOG, entries, read, registered
 from webloom.session import checkpoint_folder
 from webloom.sinks import core as K
 from webloom.sources import capture as CAP
 from webloom.streaming import runners as ST
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registered()
 
 
 @query("select doc_id, case when length(text) > 80 then left(text, 80) || chr(10) || '... (truncated)' else text end as cut from documents")
@@ -170,3 +159,11 @@ def alerts_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = Q.alert(rows, F.col("event_type") == "error", told.append)
     assert len(told) == 1
     return kept.groupBy("key").agg(F.count("*").alias("n")).withColumn("window_ms", F.lit(DAY))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then greatest(0, 100000 - c_custkey * 1000) when c_custkey % 3 = 1 then c_custkey * 1000 end as wait_ms from customer")
+def retry_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retry-After as a date, as seconds, and as neither; the time of the answer moves with the customer."""
+    k = F.col("c_custkey")
+    value = F.when(k % 3 == 0, "Wed, 21 Oct 2015 07:28:00 GMT").when(k % 3 == 1, k.cast("string")).otherwise("soon")
+    return read(spark, sf_dir, "customer").select("c_custkey", H.retry_after_ms(value, F.lit(1445412480000 - 100_000) + k * 1000).alias("wait_ms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from webloom.operators import flow as W
 from webloom.operators import quality as Q
 from webloom.operators import traffic as T
 from webloom.plans.data_queries import _CHANGES, _RUNS, PRINTS, snapshots
-from webloom.plans.tables import entries, log, read
+from webloom.plans.tables import entries, log, read, registered
 from webloom.session import checkpointed
 from webloom.sinks import core as K
 from webloom.sources import capture as CAP
@@ -28,18 +29,7 @@ from webloom.sources import formats as R
 from webloom.streaming import monitors as M
 from webloom.streaming import runners as ST
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registered()
 
 
 def _s(c: str) -> F.Column:
@@ -60,11 +50,24 @@ def sniff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", C.sniff_type("png").alias("png"), C.sniff_type("pdf").alias("pdf"), C.is_binary("pdf").alias("pdf_binary"), C.is_binary("nul").alias("nul_binary"), C.normalize_charset(F.lit("Shift-JIS")).alias("sjis"), C.decode("sj", F.lit("shift_jis")).alias("text"))
 
 
-@query("select doc_id, text as plain, length(text) > 0 as truncated from documents")
+def _packed(text: str, kind: str) -> bytes:
+    import zstandard
+
+    raw = text.encode()
+    if kind == "gzip":
+        return gzip.compress(raw, mtime=0)
+    # deflate comes with and without zlib's frame
+    return {"deflate": zlib.compress, "raw": lambda x: zlib.compress(x)[2:-4], "zstd": lambda x: zstandard.ZstdCompressor().compress(x)}.get(kind, lambda x: x)(raw)
+
+
+@query("select doc_id, text as plain, true as truncated from documents")
 def decompress_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pack = F.udf(lambda t: gzip.compress(t.encode(), mtime=0), "binary")
-    d = read(spark, sf_dir, "documents").select("doc_id", pack("text").alias("z"))
-    return d.select("doc_id", F.decode(C.decompress("z", F.lit("gzip")), "UTF-8").alias("plain"), C.truncated("z", F.octet_length("z") + 1).alias("truncated"))
+    """Bodies of five encodings, and whether one byte is missing of what was declared."""
+    kinds = F.array(*map(F.lit, ("gzip", "deflate", "raw", "zstd", "identity")))
+    kind = F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.udf(_packed, "binary", useArrow=False)("text", kind).alias("z"))
+    told = F.when(F.col("kind") == "raw", "deflate").otherwise(F.col("kind"))
+    return d.select("doc_id", F.decode(C.decompress("z", told), "UTF-8").alias("plain"), C.truncated("z", F.octet_length("z") + 1).alias("truncated"))
 
 
 @query("select c_custkey, 'A' || c_custkey || 'é' as escaped, c_name as xored, replace(replace(replace(base64(encode(c_name)), '/', '_'), '+', '_'), '=', '_') as key, 'app.js.map' as map_url from customer")

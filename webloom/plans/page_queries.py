@@ -12,21 +12,10 @@ from webloom.html import extract as X
 from webloom.html import structured as S
 from webloom.operators import dedup
 from webloom.operators import quality as Q
-from webloom.plans.tables import read
+from webloom.plans.tables import read, registered
 from webloom.sources import formats as R
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES, ORACLES, query = registered()
 
 
 def _plain(sql: str) -> str:

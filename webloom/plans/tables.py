@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.sources.capture import create_entries
 
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def registered() -> tuple[dict[str, Query], dict[str, str], Callable[[str | None], Callable[[Query], Query]]]:
+    """A module's queries and their SQL, by name, and the decorator that puts them there."""
+    queries: dict[str, Query] = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def keep(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return keep
+
+    return queries, oracles, query
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
