@@ -218,8 +218,10 @@ select o_custkey, len(ks) as n, ks[1]::varchar as first, ks[-1]::varchar as last
 )
 def json_path_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))).alias("items")).alias("data"))).alias("j"))
-    p = lambda e: J.json_path("j", e)
-    return o.select("o_custkey", F.size(p("$.data.items[*].id")).cast("bigint").alias("n"), p("$.data.items[0].id")[0].alias("first"), p("$.data.items[-1].id")[0].alias("last"), F.size(p("$..items[?(@.price > 100000)]")).cast("bigint").alias("big"), p("$.data.items[0:2].id").alias("two"))
+    found = J.json_paths("j", "$.data.items[*].id", "$.data.items[0].id", "$.data.items[-1].id", "$..items[?(@.price > 100000)]", "$.data.items[0:2].id")
+    p = o.select("o_custkey", found.alias("p"))
+    m = F.col("p")
+    return p.select("o_custkey", F.size(m[0]).cast("bigint").alias("n"), m[1][0].alias("first"), m[2][0].alias("last"), F.size(m[3]).cast("bigint").alias("big"), m[4].alias("two"))
 
 
 @query("select o_custkey, count(*) as n, min(o_orderkey)::varchar as first from orders group by 1")
