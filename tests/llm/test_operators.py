@@ -516,6 +516,27 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert toxicity.reject(odd, labels).columns == odd.columns
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """Also from long texts and from more rows than one machine would take; in one shard as the local fit, in several nearly so."""
+    words = [f"w{k}x{k % 7}" for k in range(400)]
+    rng = random.Random(9)
+    # each bad word stands in texts of over 20,000 characters alone
+    rows = [(k, " ".join(rng.choice(words) for _ in range(4500)) + (" vilest" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(90)]
+    short = corpus(400, 8)
+    rows += [(1000 + k, t, y) for k, t, y in short]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(5000, rows[0][1])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(5000, 1)], "doc_id long, toxic int")
+    seen = toxicity._labelled(docs.unionAll(docs), labels, "doc_id", "text", "toxic")[0].collect()
+    assert sorted(r["text"] for r in seen) == sorted({t for k, t, _ in [*rows, (5000, rows[0][1], 1)] if toxicity.bucket(k) != 0})
+    one, few = toxicity.train(docs, labels), toxicity.train(docs, labels, shard=400_000)
+    again = toxicity.train(docs.repartition(5), labels.repartition(2), shard=400_000)
+    assert (few.table == again.table).all() and (few.thresholds == again.thresholds).all()
+    unseen = [(t, y) for k, t, y in rows if toxicity.bucket(k) == 0] + [("a quiet morning vilest walks", 1), ("a quiet morning walks", 0)]
+    for m in (one, few):
+        right = (m.scores(pa.array([t for t, _ in unseen])) >= 0.5) == np.array([y for _, y in unseen])
+        assert right[-2:].all() and right.mean() > 0.95
+
+
 # --- SentencePiece -------------------------------------------------------------------------------------------
 
 
