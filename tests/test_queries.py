@@ -48,6 +48,33 @@ def test_query(spark, tables, sf_dir, name):
     assert got == want
 
 
+def against_sql(spark, folder, name, table):
+    """A query's rows and its SQL's, over one table of a folder."""
+    got = QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
+    return sorted(map(tuple, got.collect())), sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall())
+
+
+def test_cron_times_within_a_millisecond(spark, tmp_path):
+    """Times whose microseconds round up to a quarter or to three o'clock, and those beside them."""
+    at = [f"2024-05-{d:02d} {t}" for d in (1, 31) for t in ("00:14:59.999499", "00:14:59.999500", "00:14:59.999999", "00:15:00", "02:59:59.999600", "03:00:00", "03:00:00.000400", "23:59:59.999700")]
+    rows = ", ".join(f"({k}, timestamp '{t}', 1, 'view', 1.0, '{{}}')" for k, t in enumerate(at))
+    duckdb.sql(f"copy (select * from (values {rows}) t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = against_sql(spark, tmp_path, "cron_next", "events")
+    assert got == want and len(got) == len(at)
+
+
+@pytest.mark.parametrize("name", ["html_extract_basic", "html_fallback_default", "page_text"])
+def test_references_without_a_semicolon(spark, tmp_path, name):
+    """Texts that are cut within a reference."""
+    cut = ["a &amp;&amp;&amp", "b &quo", "c &am", "d &a", "e &quot", "f &lt", "g & h", "i &amp;lt;", "&amp;copy", "j &amp;"]
+    pages = [f'<html><head><title>{c}</title></head><body><nav><ul><li><a href="/a">x</a></li></ul></nav><div class="ad">{c}</div><h1>{c}</h1><p>t {c}</p></body></html>' for c in cut]
+    spark.createDataFrame([(k, f"https://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    got, want = against_sql(spark, tmp_path, name, "pages")
+    assert got == want and len(got) == len(cut)
+
+
 def test_every_query_has_a_home():
     assert set(ORACLES) <= set(QUERIES)
 
