@@ -419,6 +419,16 @@ def test_html_rows(spark):
     assert html_text.extract(df.filter("false")).count() == 0
 
 
+def test_line_hashes_of_a_large_batch_come_in_parts():
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choices("abcdefgh", k=40)) for _ in range(30)) for _ in range(1200)] + ["", "x"]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(texts[a:b])], ["doc_id", "text"])
+    run = line_dedup._hashed(20)
+    parts = list(run(iter([batch(0, len(texts))])))
+    assert len(parts) == -(-sum(map(len, texts)) // text.STEP_BYTES) > 1
+    assert pa.Table.from_batches(parts).to_pylist() == [r for k in range(len(texts)) for p in run(iter([batch(k, k + 1)])) for r in p.to_pylist()]
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------
 
 
@@ -537,6 +547,27 @@ def test_toxicity_learns_from_every_row(spark):
         assert right[-2:].all() and right.mean() > 0.95
 
 
+def python_nodes(plan, above=0):
+    """The most Python nodes that one task of a physical plan has, each with a worker of its own."""
+    name = plan.nodeName()
+    above = 0 if "Exchange" in name else above + ("InArrow" in name or "InPandas" in name)
+    children = plan.children()
+    return max([above, *(python_nodes(children.apply(k), above) for k in range(children.size()))])
+
+
+def test_toxicity_fits_with_one_worker_of_a_task(spark, monkeypatch):
+    """Two Python nodes in a stage hold twice the workers of an executor, and their memory."""
+    rows = corpus(300, 11)
+    docs, labels = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    frames, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **b: frames.append(plain(*a, **b)) or frames[-1])
+    models = [toxicity.train(d, labels, shard=20_000) for d in (docs, docs.unionAll(docs.filter("doc_id % 3 = 0")))]
+    assert len(frames) > 6
+    assert max(python_nodes(f._jdf.queryExecution().executedPlan().initialPlan() if "Adaptive" in f._jdf.queryExecution().executedPlan().nodeName() else f._jdf.queryExecution().executedPlan()) for f in frames) == 1
+    # repeated rows count once, by whichever way they come
+    assert (models[0].table == models[1].table).all() and (models[0].thresholds == models[1].thresholds).all()
+
+
 # --- SentencePiece -------------------------------------------------------------------------------------------
 
 

@@ -55,7 +55,7 @@ def _hashed(min_words: int):
 
         Lines are compared without space at their ends.
         """
-        for b in batches:
+        for b in (whole.slice(x, y - x) for whole in batches for x, y in text.slices(text.strings(whole.column(1)))):
             column = text.strings(b.column(1))
             data, at = text.view(column)
             raw = data.tobytes()

@@ -16,11 +16,12 @@ the driver.
 from __future__ import annotations
 
 import binascii
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ RATE = 0.05
 FOLDS = 5
 SEED = 20240501
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Frequent function words that tell languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on with be as by this are from or which",
@@ -317,8 +320,11 @@ def bucket(doc_id) -> int:
     return binascii.crc32(str(doc_id).encode()) % FOLDS
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(rows to learn from: c, id, text, y, fold, hash; how many there are by fold and label; their characters).
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, np.ndarray, int, Callable[[Batches, str], DataFrame]]:
+    """(rows to learn from: c, id, text, hash, y, fold; how many there are by fold and label; their characters; passed).
+
+    passed(run, schema) is what run makes of batches of these rows. A task has one Python worker for both, where
+    mapInArrow over the rows would start a second one beside it.
 
     Texts don't move for it: ids, hashes and labels are joined, and of each row that counts the driver takes
     a hash, a label and a length, which are 13 bytes.
@@ -336,18 +342,28 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     there = kept.select("k.hash", kind.cast("tinyint").alias("kind"), "k.chars").toArrow()
     hashes, kinds = (there[k].to_numpy() for k in ("hash", "kind"))
     full = docs.select(crc.alias("c"), name.alias("id"), body.alias("text"), told.alias("hash"))
-    found = _taken(full, hashes[kinds < 4], kinds[kinds < 4])
-    if (kinds >= 4).any():
-        found = found.unionAll(_taken(full, hashes[kinds >= 4], kinds[kinds >= 4]).dropDuplicates(["hash"]))
-    return found, np.bincount(kinds & 3, minlength=4).reshape(2, 2), int(there["chars"].to_numpy().sum(dtype=np.int64))
+    once = _taken(full, hashes[kinds < 4], kinds[kinds < 4])
+    again = _taken(full, hashes[kinds >= 4], kinds[kinds >= 4]) if (kinds >= 4).any() else None
+
+    def passed(run: Batches, schema: str) -> DataFrame:
+        if not again:
+            return full.mapInArrow(lambda batches: run(once(batches)), schema)
+        # the shuffle parts the two functions of repeated rows
+        repeated = full.mapInArrow(again, _ROWS).dropDuplicates(["hash"])
+        return full.mapInArrow(lambda batches: run(once(batches)), schema).unionAll(repeated if run is iter else repeated.mapInArrow(run, schema))
+
+    return passed(iter, _ROWS), np.bincount(kinds & 3, minlength=4).reshape(2, 2), int(there["chars"].to_numpy().sum(dtype=np.int64)), passed
 
 
-def _taken(rows: DataFrame, hashes: np.ndarray, kinds: np.ndarray) -> DataFrame:
-    """The rows with one of these hashes, with the label and fold of it."""
+_ROWS = "c long, id string, text string, hash long, y int, fold boolean"
+
+
+def _taken(rows: DataFrame, hashes: np.ndarray, kinds: np.ndarray) -> Batches:
+    """Takes those of rows that have one of these hashes, and adds its label and fold."""
     order = np.argsort(hashes)
     sent = rows.sparkSession.sparkContext.broadcast((hashes[order], kinds[order]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kind = sent.value
         for b in batches:
             h = b.column("hash").to_numpy()
@@ -358,7 +374,7 @@ def _taken(rows: DataFrame, hashes: np.ndarray, kinds: np.ndarray) -> DataFrame:
                 part = b.filter(pa.array(mine))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array((k & 1).astype(np.int32)), pa.array(k & 2 > 0)], [*part.schema.names, "y", "fold"])
 
-    return rows.mapInArrow(run, "c long, id string, text string, hash long, y int, fold boolean")
+    return take
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", shard: int = SHARD) -> Model | None:
@@ -367,31 +383,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Repeated labels of one doc_id count as 1 if one of them is 1; null labels and ids are left out, a null text
     is an empty one, and repeated texts count once.
     """
-    rows, n, chars = _labelled(docs, labels, id_col, text_col, label_col)
+    rows, n, chars, passed = _labelled(docs, labels, id_col, text_col, label_col)
     if not n[0].all():
         return None
     shards = -(-chars // shard)
     if shards > 1:
-        return _fit_shards(rows, shards, n[0, 1] / n[0].sum())
+        return _fit_shards(rows, passed, shards, n[0, 1] / n[0].sum())
     got = sorted(rows.collect(), key=lambda r: (r["c"], r["id"]))
     return fit([r["text"] for r in got], np.array([r["y"] for r in got]), np.array([r["fold"] for r in got]))
 
 
-def _fit_shards(rows: DataFrame, shards: int, share: float) -> Model:
+def _fit_shards(rows: DataFrame, passed: Callable[[Batches, str], DataFrame], shards: int, share: float) -> Model:
+    """rows and passed are those of _labelled."""
     sc = rows.sparkSession.sparkContext
-    learnt = rows.filter(~F.col("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            column, y = text.strings(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            b = b.filter(pc.invert(b.column("fold")))
+            column, y = text.strings(b.column("text")), b.column("y").to_numpy(zero_copy_only=False)
             for i, j in text.slices(column):
                 total += _held(words_of(column[i:j]), y[i:j])
         some = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[0, some]), pa.array(total[1, some])], ["bucket", "neg", "pos"])
 
     held = np.zeros((2, BUCKETS), np.int64)
-    for r in learnt.select("text", "y").mapInArrow(count, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg"), F.sum("pos")).collect():
+    for r in passed(count, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg"), F.sum("pos")).collect():
         held[:, r[0]] = r[1:]
     start, _ = _start(held, share)
     sent = sc.broadcast(start)
@@ -425,7 +442,7 @@ def _fit_shards(rows: DataFrame, shards: int, share: float) -> Model:
         mean = total / np.maximum(weight, 1)
         return pa.table({"block": pa.array([part["block"][0].as_py()], pa.int32()), "mean": pa.array([mean.tobytes()], pa.binary())})
 
-    dealt = learnt.select("c", "id", "text", "y", F.pmod("hash", F.lit(shards)).cast("int").alias("shard"))
+    dealt = rows.filter(~F.col("fold")).select("c", "id", "text", "y", F.pmod("hash", F.lit(shards)).cast("int").alias("shard"))
     changes = dealt.groupBy("shard").applyInArrow(learn, "block int, shard int, n long, buckets binary, change binary")
     m = start
     for block, mean in changes.groupBy("block").applyInArrow(average, "block int, mean binary").collect():
@@ -438,13 +455,13 @@ def _fit_shards(rows: DataFrame, shards: int, share: float) -> Model:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = text.strings(b.column(0))
+            column = text.strings(b.column("text"))
             for i, j in text.slices(column):
                 w = words_of(column[i:j])
                 steps = np.rint(done.value.logits(w).astype(np.float64) * STEPS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(1)[i:j], b.column(2)[i:j], pa.array(w.language, pa.int32()), pa.array(steps)], ["y", "fold", "language", "step"])
+                yield pa.RecordBatch.from_arrays([b.column("y")[i:j], b.column("fold")[i:j], pa.array(w.language, pa.int32()), pa.array(steps)], ["y", "fold", "language", "step"])
 
-    told = rows.select("text", "y", "fold").mapInArrow(judge, "y int, fold boolean, language int, step long").groupBy("y", "fold", "language", "step").count().toArrow().to_pydict()
+    told = passed(judge, "y int, fold boolean, language int, step long").groupBy("y", "fold", "language", "step").count().toArrow().to_pydict()
     m.thresholds = _thresholds(np.array(told["step"]) / STEPS, np.array(told["y"]), np.array(told["language"]), np.array(told["fold"]), np.array(told["count"]))
     return m
 
